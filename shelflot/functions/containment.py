@@ -47,15 +47,16 @@ def _short_key(piece: Column) -> Column:
     return F.xxhash64(F.lit("short"), piece)
 
 
+def _keys_of_length(text: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.length(text) - F.lit(n - 1))
+    return F.transform(starts, lambda i: _short_key(F.substr(text, i, F.lit(n))))
+
+
 def _piece_keys(text: Column, lengths: Column) -> Column:
     """Keys of all pieces of ``text`` having one of ``lengths``."""
     per_length = [
         F.when(
-            F.array_contains(lengths, n) & (F.length(text) >= n),
-            F.transform(
-                F.sequence(F.lit(1), F.length(text) - F.lit(n - 1)),
-                lambda i, n=n: _short_key(F.substr(text, i, F.lit(n))),
-            ),
+            F.array_contains(lengths, n) & (F.length(text) >= n), _keys_of_length(text, n)
         ).otherwise(F.array().cast("array<bigint>"))
         for n in range(1, LONG)
     ]

@@ -801,7 +801,7 @@ def guesses(prefix: str, model_prefix: str, source: str, text: str = "text") ->
     )
     table(
         f"{p}scores",
-        f"""SELECT q.id, label, COALESCE(s, 0) + log_prior AS score FROM {source} q CROSS JOIN {m}priors
+        f"""SELECT id, label, COALESCE(s, 0) + log_prior AS score FROM (SELECT id FROM {source}) q CROSS JOIN {m}priors
             LEFT JOIN (SELECT id, label, SUM(weight * log_prob) AS s FROM (
                 SELECT id, term, w / sqrt(SUM(w * w) OVER (PARTITION BY id)) AS weight
                 FROM (SELECT id, term, tf * idf AS w FROM {p}asked_tf JOIN {m}vocabulary USING (term)))
