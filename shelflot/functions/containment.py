@@ -24,25 +24,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflot.functions.text import ascii_lower, contains_pattern
+from shelflot.session import partitions, pinned
 
-Q = 4
+Q = 8
 W = 4
 LONG = Q + W - 1
 
 
-def _window_keys(text: Column) -> Column:
-    """Distinct least hashes over windows; empty for a text shorter than one window."""
-    least = F.transform(
-        F.sequence(F.lit(1), F.length(text) - F.lit(LONG - 1)),
-        lambda j: F.array_min(
-            F.array(*[F.xxhash64(F.substr(text, j + F.lit(k), F.lit(Q))) for k in range(W)])
-        ),
+def _with_pieces(df: DataFrame, text: str) -> DataFrame:
+    """Add the hashes of all Q-character pieces, in order; none for a text shorter than LONG.
+
+    They are a column of their own, which is used twice, so Spark keeps it and every piece is
+    hashed once.
+    """
+    hashes = F.transform(
+        F.sequence(F.lit(1), F.length(text) - F.lit(Q - 1)),
+        lambda i: F.xxhash64(F.substr(F.col(text), i, F.lit(Q))),
     )
-    return F.when(F.length(text) >= LONG, F.array_distinct(least)).otherwise(
-        F.array().cast("array<bigint>")
+    return df.withColumn(
+        "__pieces", F.when(F.length(text) >= LONG, hashes).otherwise(F.array().cast("array<bigint>"))
     )
 
 
+def _window_keys() -> Column:
+    """Distinct least hashes over windows of ``__pieces``."""
+    windows = F.size("__pieces") - F.lit(W - 1)
+    least = F.transform(
+        F.sequence(F.lit(1), windows), lambda j: F.array_min(F.slice("__pieces", j, F.lit(W)))
+    )
+    return F.when(windows > 0, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _short_key(piece: Column) -> Column:
     return F.xxhash64(F.lit("short"), piece)
 
@@ -63,6 +75,11 @@ def _piece_keys(text: Column, lengths: Column) -> Column:
     return F.array_distinct(F.concat(*per_length))
 
 
+def _exploded(df: DataFrame, keys: Column, kept: Sequence[str]) -> DataFrame:
+    """A row per key. The outer form keeps Spark from testing the list first, which would build it twice."""
+    return df.select(*kept, F.explode_outer(keys).alias("__key")).filter(F.col("__key").isNotNull())
+
+
 def _anchor(pattern: Column) -> Column:
     parts = F.transform(F.split(pattern, "[%_]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))
     return F.array_max(parts)["p"]
@@ -94,22 +111,28 @@ def first_containing(
         .groupBy(*within, ascii_lower(text).alias("__text"))
         .agg(F.min(order).alias("__order"))
     )
+    # Both sides are distinct by now and about to grow many times over, so they are spread
+    # over all tasks rather than over as many as their present size asks for.
+    n = partitions(p.sparkSession)
+    p, t = pinned(p.repartition(n, "__pattern")), pinned(t.repartition(n, "__text"))
     anchor_length = F.length("__anchor")
     keyed = p.filter(anchor_length > 0)
     lengths = (
         keyed.filter(anchor_length < LONG).agg(F.collect_set(anchor_length).alias("lengths")).scalar()
     )
-    text_keys = t.withColumn(
-        "__key",
-        F.explode(F.array_union(_window_keys(F.col("__text")), _piece_keys(F.col("__text"), lengths))),
+    pattern_keys = _exploded(
+        _with_pieces(keyed, "__anchor"),
+        F.when(anchor_length < LONG, F.array(_short_key(F.col("__anchor")))).otherwise(_window_keys()),
+        [*within, "__pattern"],
     )
-    pattern_keys = keyed.withColumn(
-        "__key",
-        F.explode(
-            F.when(anchor_length < LONG, F.array(_short_key(F.col("__anchor")))).otherwise(
-                _window_keys(F.col("__anchor"))
-            )
-        ),
+    # Keys carry the order of their text, not the text, which is looked up again for the few
+    # pairs that share a key.
+    text_keys = pinned(
+        _exploded(
+            _with_pieces(t, "__text"),
+            F.array_union(_window_keys(), _piece_keys(F.col("__text"), lengths)),
+            [*within, "__order"],
+        )
     )
     counts = text_keys.groupBy(*within, "__key").agg(F.count(F.lit(1)).alias("__n"))
     rarest = (
@@ -123,6 +146,8 @@ def first_containing(
     )
     by_key = (
         rarest.join(text_keys, [*within, "__key"])
+        .select(*within, "__pattern", "__order")
+        .join(t, [*within, "__order"])
         .filter(contains_pattern(F.col("__text"), F.col("__pattern")))
         .select(*within, "__pattern", "__order")
     )

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelflot.session import pinned
+from shelflot.session import partitions, pinned
 
 GROUP_LIMIT = 1_000_000
 _PART = "__part"
@@ -27,12 +27,8 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return row["n"] or 0
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _split_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    ranged = df.repartitionByRange(_partitions(df), *keys, *order)
+    ranged = df.repartitionByRange(partitions(df.sparkSession), *keys, *order)
     return pinned(ranged.withColumn(_PART, F.spark_partition_id()))
 
 

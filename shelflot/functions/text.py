@@ -20,10 +20,15 @@ def ascii_lower(value: Column | str) -> Column:
 def contains_pattern(text: Column, pattern: Column) -> Column:
     """``text LIKE '%' || pattern || '%'`` without case, % and _ being wildcards.
 
-    A backslash is an ordinary character, so it is doubled for Spark's default escape.
+    A pattern without wildcards is a plain substring search; LIKE would compile an expression
+    per row. A backslash is an ordinary character, so it is doubled for Spark's default escape.
     """
-    escaped = F.replace(ascii_lower(pattern), F.lit("\\"), F.lit("\\\\"))
-    return F.like(ascii_lower(text), F.concat(F.lit("%"), escaped, F.lit("%")))
+    text, pattern = ascii_lower(text), ascii_lower(pattern)
+    escaped = F.replace(pattern, F.lit("\\"), F.lit("\\\\"))
+    wild = F.contains(pattern, F.lit("%")) | F.contains(pattern, F.lit("_"))
+    return F.when(wild, F.like(text, F.concat(F.lit("%"), escaped, F.lit("%")))).otherwise(
+        F.contains(text, pattern)
+    )
 
 
 def or_na(value: Column | str) -> Column:

@@ -65,30 +65,53 @@ def class_totals(labelled: DataFrame, label: str = "medicine") -> DataFrame:
     )
 
 
-def tokenise(df: DataFrame, text: str = "symptoms", id: str = "id") -> DataFrame:
-    """(id, terms): the words of each text and the pairs of neighbours, stop words left out first."""
-    words = F.filter(
+def _words(text: str) -> Column:
+    return F.filter(
         F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0)),
         lambda w: ~w.isin(*STOP_WORDS),
     )
-    n = F.size("words")
+
+
+def _following(words: str) -> Column:
+    """The words from the second on; empty for fewer than two."""
+    return F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(1)))
+
+
+def tokenise(df: DataFrame, text: str = "symptoms", id: str = "id") -> DataFrame:
+    """(id, terms): the words of each text and the pairs of neighbours, stop words left out first."""
     pairs = F.zip_with(
-        F.slice("words", F.lit(1), F.greatest(n - 1, F.lit(0))),
-        F.slice("words", F.lit(2), F.greatest(n - 1, F.lit(0))),
+        F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))),
+        _following("words"),
         lambda a, b: F.concat_ws(" ", a, b),
     )
-    return df.select(F.col(id).alias("id"), words.alias("words")).select(
+    return df.select(F.col(id).alias("id"), _words(text).alias("words")).select(
         "id", F.concat("words", pairs).alias("terms")
     )
 
 
-def _frequencies(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def term_rows(df: DataFrame, text: str = "symptoms", id: str = "id") -> DataFrame:
+    """(id, term): the terms of ``tokenise``, a row each.
+
+    Words are zipped with their followers and exploded first, so the pairs are joined up in
+    generated code. The outer form of explode keeps Spark from testing the list beforehand,
+    which would tokenise twice.
+    """
+    beside = F.arrays_zip(F.col("words").alias("word"), _following("words").alias("next"))
+    pair = F.concat("z.word", F.lit(" "), "z.next")
+    return (
+        df.select(F.col(id).alias("id"), _words(text).alias("words"))
+        .select("id", F.explode_outer(beside).alias("z"))
+        .select("id", F.explode_outer(F.array("z.word", pair)).alias("term"))
+        .filter(F.col("term").isNotNull())
+    )
+
+
+def _frequencies(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, term, tf) for the terms in the vocabulary.
 
     Terms outside it are filtered before anything is shuffled; a document's rows are made in
     one task, so the count per document and term is complete before the shuffle.
     """
-    terms = tokens.select("id", F.explode("terms").alias("term"))
     return terms.join(vocabulary.select("term"), "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -99,16 +122,19 @@ def _weights(frequencies: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return raw.select("id", "term", (F.col("w") / norm).alias("weight"))
 
 
-def fit_tfidf(tokens: DataFrame, max_features: int = MAX_FEATURES) -> Tfidf:
+def fit_tfidf(
+    texts: DataFrame, max_features: int = MAX_FEATURES, text: str = "text", id: str = "id"
+) -> Tfidf:
     """Vocabulary of the most frequent terms with smoothed idf, and the documents' weights.
 
     The texts are read twice: once to count terms, once to keep those in the vocabulary. Both
     results are stored, so nothing later reads the texts again.
     """
-    counted = tokens.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    terms = term_rows(texts, text, id)
+    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     chosen = pinned(counted.orderBy(F.desc("n"), "term").limit(max_features).select("term"))
-    frequencies = pinned(_frequencies(tokens, chosen))
-    documents = tokens.agg(F.count(F.lit(1)).alias("n")).scalar()
+    frequencies = pinned(_frequencies(terms, chosen))
+    documents = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = F.log((documents + 1) / (F.col("df") + 1)) + 1
     vocabulary = pinned(
         frequencies.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", idf.alias("idf"))
@@ -147,13 +173,12 @@ def fit_nb(tfidf: Tfidf, labels: DataFrame, alpha: float = ALPHA) -> Model:
 
 def train(labelled: DataFrame, max_features: int = MAX_FEATURES, alpha: float = ALPHA) -> Model:
     """Fit on (id, text, label) rows."""
-    tokens = tokenise(labelled, "text", "id")
-    return fit_nb(fit_tfidf(tokens, max_features), labelled.select("id", "label"), alpha)
+    return fit_nb(fit_tfidf(labelled, max_features), labelled.select("id", "label"), alpha)
 
 
-def class_scores(model: Model, tokens: DataFrame) -> DataFrame:
+def class_scores(model: Model, terms: DataFrame) -> DataFrame:
     """(id, label, score) for documents with at least one known term: joint log probability."""
-    weights = _weights(_frequencies(tokens, model.vocabulary), model.vocabulary)
+    weights = _weights(_frequencies(terms, model.vocabulary), model.vocabulary)
     return (
         weights.join(model.log_probs, "term")
         .groupBy("id", "label")
@@ -185,8 +210,7 @@ def predict(model: Model, queries: DataFrame, k: int = TOP, text: str = "symptom
 
     A query without any known term gets the class priors.
     """
-    tokens = tokenise(queries, text, id)
-    known = _ranked(class_scores(model, tokens), k)
+    known = pinned(_ranked(class_scores(model, term_rows(queries, text, id)), k))
     usual = (
         model.priors.orderBy(F.desc("log_prior"), F.desc("label"))
         .limit(k)
@@ -196,7 +220,7 @@ def predict(model: Model, queries: DataFrame, k: int = TOP, text: str = "symptom
         .scalar()
     )
     blind = (
-        tokens.select("id")
+        queries.select(F.col(id).alias("id"))
         .join(known.select("id").distinct(), "id", "left_anti")
         .select("id", F.posexplode(usual).alias("pos", "t"))
         .select("id", (F.col("pos") + 1).alias("rank"), "t.label", "t.probability")

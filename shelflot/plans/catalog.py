@@ -597,12 +597,12 @@ def tokenise(s: Shelf) -> DataFrame:
 
 @query
 def fit_tfidf(s: Shelf) -> DataFrame:
-    return rounded(M.fit_tfidf(M.tokenise(s.labelled_texts, "text")).weights, "weight", digits=6)
+    return rounded(M.fit_tfidf(s.labelled_texts).weights, "weight", digits=6)
 
 
 @query
 def tfidf_vocabulary(s: Shelf) -> DataFrame:
-    return rounded(M.fit_tfidf(M.tokenise(s.labelled_texts, "text")).vocabulary, "idf", digits=6)
+    return rounded(M.fit_tfidf(s.labelled_texts).vocabulary, "idf", digits=6)
 
 
 @query

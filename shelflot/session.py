@@ -55,3 +55,8 @@ def pinned(df: DataFrame) -> DataFrame:
     """Compute once into reliable storage and cut the lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def partitions(spark: SparkSession) -> int:
+    """Tasks to spread a heavy step over: the shuffle setting, and never fewer than the cores."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
