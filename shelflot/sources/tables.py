@@ -57,5 +57,7 @@ def write_symptom_csv(df: DataFrame, path: str) -> None:
         .write.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
