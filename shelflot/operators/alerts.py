@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflot.functions.containment import first_containing
-from shelflot.functions.dates import days_left
+from shelflot.functions.dates import day, days_left
 from shelflot.functions.ranks import first_row
 from shelflot.functions.text import ascii_lower
 from shelflot.operators.inventory import LOW_STOCK, low_stock_medicines
@@ -102,7 +102,7 @@ def dedupe_alerts(candidates: DataFrame, alerts: DataFrame, order: str = "source
     keyed = candidates.filter(F.col("message").isNotNull()).withColumn("pattern", ascii_lower(head))
     # The first candidate with a given beginning stands for all: it silences the others if it
     # is kept, and whatever silences it silences them too.
-    speakers = first_row(keyed, ["alert_type", "pattern"], [order])
+    speakers = pinned(first_row(keyed, ["alert_type", "pattern"], [order]))
     unread = alerts.filter(~F.col("is_read"))
     said = first_containing(speakers, unread, "pattern", "message", "id", ["alert_type"])
     fresh = speakers.join(said, ["alert_type", "pattern"], "left_anti")
@@ -294,6 +294,32 @@ def alert_summary(made: DataFrame) -> DataFrame:
     return both.unionByName(names).groupBy("batch_type").agg(F.sum("n").cast("bigint").alias("alerts"))
 
 
+def _due_kinds(as_of, config: AlertConfig) -> Column:
+    """The checks a batch falls under, as a list."""
+    left = days_left("expiry_date", as_of)
+    tests = {
+        "expired": left < 0,
+        "near_expiry": left.between(0, config.near_expiry_days),
+        "expiring_soon": (left > SOON_AFTER_DAYS) & (left <= config.expiring_soon_days),
+        "low_stock": F.col("quantity") < config.low_stock_threshold,
+    }
+    return F.array(*[F.when(test, F.lit(kind)) for kind, test in tests.items()])
+
+
+def _kinds_said(alerts: DataFrame, as_of) -> DataFrame:
+    """(kind, batch_id) of the alerts made on the day, for the checks they keep quiet."""
+    kind = F.when(F.col("alert_type") == JOB_TYPES["low_stock"], "low_stock")
+    for name in ("expired", "near_expiry", "expiring_soon"):
+        same = (F.col("alert_type") == JOB_TYPES[name]) & (F.col("severity") == JOB_SEVERITIES[name])
+        kind = kind.when(same, name)
+    return (
+        alerts.filter(F.to_date("created_at") == day(as_of))
+        .select(kind.alias("kind"), "batch_id")
+        .filter(F.col("kind").isNotNull())
+        .distinct()
+    )
+
+
 def run_checks(
     batches: DataFrame,
     medicines: DataFrame,
@@ -302,13 +328,41 @@ def run_checks(
     config: AlertConfig = AlertConfig(),
     null_aware: bool = False,
 ) -> JobRun:
-    """The whole daily job: all checks see the alerts as they were, then alerts are made."""
-    made = job_alerts(
-        {
-            "expired": expired_batches(batches, medicines, alerts, as_of, null_aware),
-            "near_expiry": near_expiry_batches(batches, medicines, alerts, as_of, config, null_aware),
-            "expiring_soon": expiring_soon_batches(batches, medicines, alerts, as_of, config, null_aware),
-            "low_stock": low_stock_batches(batches, medicines, alerts, as_of, config, null_aware),
-        }
+    """The whole daily job: all checks see the alerts as they were, then alerts are made.
+
+    The four checks share one pass: a batch yields a row per check it falls under, and one
+    anti join on (check, batch) takes out what was said today.
+    """
+    due = batches.select(
+        "id", "batch_no", "medicine_id", "quantity", "expiry_date", F.explode(_due_kinds(as_of, config)).alias("kind")
+    ).filter(F.col("kind").isNotNull())
+    said = _kinds_said(alerts, as_of)
+    quiet = due.join(
+        said.filter(F.col("batch_id").isNotNull()).withColumnRenamed("batch_id", "id"), ["kind", "id"], "left_anti"
+    )
+    if null_aware:
+        quiet = quiet.join(said.filter(F.col("batch_id").isNull()).select("kind"), "kind", "left_anti")
+    named = batches_enriched(quiet, medicines)
+    with_total = named.join(total_stock(batches), "medicine_id", "left")
+    left = days_left("expiry_date", as_of)
+    details = {
+        "expired": [F.abs(left)],
+        "near_expiry": [left],
+        "expiring_soon": [left],
+        "low_stock": [F.col("quantity"), F.col("total_stock")],
+    }
+    message, kind_type, severity = F.lit(None), F.lit(None), F.lit(None)
+    for kind, values in details.items():
+        mine = F.col("kind") == kind
+        said_as = F.format_string(JOB_MESSAGES[kind], F.col("medicine_name"), F.col("batch_no"), *values)
+        message = F.when(mine, said_as).otherwise(message)
+        kind_type = F.when(mine, JOB_TYPES[kind]).otherwise(kind_type)
+        severity = F.when(mine, JOB_SEVERITIES[kind]).otherwise(severity)
+    made = with_total.select(
+        F.col("kind").alias("batch_type"),
+        F.col("id").alias("batch_id"),
+        kind_type.alias("alert_type"),
+        message.alias("message"),
+        severity.alias("severity"),
     )
     return JobRun(made.drop("batch_type"), alert_summary(made))

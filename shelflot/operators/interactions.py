@@ -14,7 +14,7 @@ def known_pairs(interactions: DataFrame) -> DataFrame:
         interactions.filter(F.col("drug_a").isNotNull() & F.col("drug_b").isNotNull())
         .groupBy(*pair)
         .agg(F.min(entry).alias("entry"))
-        .select("low", "high", *[F.col(f"entry.{c}").alias(c) for c in ("interaction", "severity", "recommendation")])
+        .select("low", "high", *[F.col(f"entry.{c}").alias(c) for c in ("id", "interaction", "severity", "recommendation")])
     )
 
 
@@ -27,7 +27,7 @@ def check_interactions(pairs: DataFrame, interactions: DataFrame) -> DataFrame:
     high = F.greatest("drug1", "drug2")
     both = F.col("drug1").isNotNull() & F.col("drug2").isNotNull()
     keyed = pairs.withColumn("low", F.when(both, low)).withColumn("high", F.when(both, high))
-    return keyed.join(known_pairs(interactions), ["low", "high"], "left").drop("low", "high")
+    return keyed.join(known_pairs(interactions).drop("id"), ["low", "high"], "left").drop("low", "high")
 
 
 def basket_interactions(
@@ -47,8 +47,10 @@ def basket_interactions(
         .join(relevant, "name", "left_semi")
         .distinct()
     )
-    partners = held.withColumnRenamed("name", "low").join(pairs, "low")
-    return partners.join(held.withColumnRenamed("name", "high"), ["basket", "high"]).select(
+    # Only the pair's id travels through the large joins; what is known of it is added last.
+    partners = held.withColumnRenamed("name", "low").join(pairs.select("low", "high", "id"), "low").drop("low")
+    found = partners.join(held.withColumnRenamed("name", "high"), ["basket", "high"]).select("basket", "id")
+    return found.join(pairs, "id").select(
         F.col("basket").alias(basket),
         F.col("low").alias("drug_a"),
         F.col("high").alias("drug_b"),

@@ -586,6 +586,17 @@ def job_alerts(s: Shelf) -> DataFrame:
     return A.run_checks(s.batches, s.medicines, s.job_log, AS_OF).alerts
 
 
+@query
+def job_alerts_by_check(s: Shelf) -> DataFrame:
+    frames = {
+        "expired": A.expired_batches(s.batches, s.medicines, s.job_log, AS_OF),
+        "near_expiry": A.near_expiry_batches(s.batches, s.medicines, s.job_log, AS_OF),
+        "expiring_soon": A.expiring_soon_batches(s.batches, s.medicines, s.job_log, AS_OF),
+        "low_stock": A.low_stock_batches(s.batches, s.medicines, s.job_log, AS_OF),
+    }
+    return A.job_alerts(frames).drop("batch_type")
+
+
 # Text classification
 
 

@@ -490,18 +490,19 @@ def _said(kind: str, source: str, *detail: str) -> str:
         '{A.JOB_SEVERITIES[kind]}' AS severity FROM {source}"""
 
 
-oracle(
-    "job_alerts",
-    " UNION ALL ".join(
-        [
-            _said("expired", "expired", "abs(days_expired)"),
-            _said("near_expiry", "near", "days_until_expiry"),
-            _said("expiring_soon", "soon", "days_until_expiry"),
-            _said("low_stock", "low", "quantity", "total_stock"),
-        ]
-    ),
-    "expired", "near", "soon", "low",
-)
+for _name in ("job_alerts", "job_alerts_by_check"):
+    oracle(
+        _name,
+        " UNION ALL ".join(
+            [
+                _said("expired", "expired", "abs(days_expired)"),
+                _said("near_expiry", "near", "days_until_expiry"),
+                _said("expiring_soon", "soon", "days_until_expiry"),
+                _said("low_stock", "low", "quantity", "total_stock"),
+            ]
+        ),
+        "expired", "near", "soon", "low",
+    )
 oracle(
     "alert_summary",
     """SELECT 'expired' AS batch_type, (SELECT COUNT(*) FROM expired) AS alerts
