@@ -1,19 +1,23 @@
 """The shared joins.
 
-No side is broadcast by hint: Catalyst broadcasts a side whose size it knows to be under
+Catalyst broadcasts a side whose size it knows to be under
 ``spark.sql.autoBroadcastJoinThreshold``, and adaptive execution re-checks that with measured
-sizes. Otherwise the join is by shuffle, where adaptive execution splits a hot key.
+sizes. Otherwise the join is by shuffle, where adaptive execution splits a hot key. The one
+broadcast by hint is in ``lookup_join``, which measures the table first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelflot.functions.dates import day
 from shelflot.functions.money import amount
 
 NULL_SPREAD = 256
+SMALL_BYTES = 32 * 1024 * 1024
+SALTS = 32
 
 
 def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -36,6 +40,30 @@ def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_k
     )
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes the rows of a table hold, roughly: texts by their length, the rest at 16 each."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    fixed = 16 * len(df.columns)
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(fixed))
+    return df.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
+
+
+def lookup_join(
+    facts: DataFrame, table: DataFrame, key: str, spread: str, small_bytes: int = SMALL_BYTES
+) -> DataFrame:
+    """Join many rows with few distinct keys to a table that is usually small.
+
+    The table is measured and broadcast if it is small. If not, each of its rows is repeated
+    for ``SALTS`` salts and the facts of one key are spread over them by ``spread``, so a key
+    held by a large part of the facts still meets the table in many tasks.
+    """
+    if measured_bytes(table) <= small_bytes:
+        return facts.join(F.broadcast(table), key)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(table.withColumn("__salt", salts), [key, "__salt"]).drop("__salt")
+
+
 def sales_enriched(sales: DataFrame, batches: DataFrame, medicines: DataFrame) -> DataFrame:
     """Sale lines with their batch number, medicine and value; lines without either are dropped.
 

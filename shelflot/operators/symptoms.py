@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shelflot.functions.containment import first_containing
 from shelflot.functions.ranks import row_numbers
 from shelflot.functions.text import ascii_lower
+from shelflot.operators.joins import lookup_join
 from shelflot.session import pinned
 
 # The words that carry no meaning of their own, and the model's parameters.
@@ -112,12 +113,14 @@ def _frequencies(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     Terms outside it are filtered before anything is shuffled; a document's rows are made in
     one task, so the count per document and term is complete before the shuffle.
     """
-    return terms.join(vocabulary.select("term"), "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    known = lookup_join(terms, vocabulary.select("term"), "term", "id")
+    return known.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _weights(frequencies: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Unit-length TF-IDF weights; a document has at most a vocabulary of rows in its window."""
-    raw = frequencies.join(vocabulary.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    raw = lookup_join(frequencies, vocabulary.select("term", "idf"), "term", "id")
+    raw = raw.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return raw.select("id", "term", (F.col("w") / norm).alias("weight"))
 
@@ -179,13 +182,13 @@ def train(labelled: DataFrame, max_features: int = MAX_FEATURES, alpha: float =
 def class_scores(model: Model, terms: DataFrame) -> DataFrame:
     """(id, label, score) for documents with at least one known term: joint log probability."""
     weights = _weights(_frequencies(terms, model.vocabulary), model.vocabulary)
-    return (
-        weights.join(model.log_probs, "term")
+    sums = (
+        lookup_join(weights, model.log_probs, "term", "id")
         .groupBy("id", "label")
         .agg(F.sum(F.col("weight") * F.col("log_prob")).alias("s"))
-        .join(model.priors, "label")
-        .select("id", "label", (F.col("s") + F.col("log_prior")).alias("score"))
     )
+    scored = lookup_join(sums, model.priors, "label", "id")
+    return scored.select("id", "label", (F.col("s") + F.col("log_prior")).alias("score"))
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:

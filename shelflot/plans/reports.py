@@ -19,6 +19,7 @@ from shelflot.operators.sales import (
     top_medicines,
     windows_from_days,
 )
+from shelflot.session import pinned
 
 # Days back per period name, and the status texts of the expiry report.
 PERIOD_DAYS = {"today": 0, "week": 7, "month": 30, "quarter": 90, "year": 365}
@@ -138,11 +139,12 @@ def summary_report(
 ) -> dict[str, DataFrame]:
     """The sections of the summary: windows, inventory, expiry, top_medicines, daily_sales.
 
-    Windows and the daily chart come from the same totals per day, one pass over the sales.
+    Windows and the daily chart come from the same totals per day, a few hundred rows that are
+    stored, so that the sales of the year are read once for both.
     """
     today = day(as_of)
     recent = in_days(sales, F.date_sub(today, max(WINDOWS.values())))
-    days = daily_totals(recent)
+    days = pinned(daily_totals(recent))
     week = days.filter(F.col("sale_date") >= F.date_sub(today, WINDOWS["week"]))
     return {
         "windows": windows_from_days(days, as_of),

@@ -68,6 +68,14 @@ def test_top_medicines_sums_before_joining(spark, sales, batches, medicines):
     assert "Aggregate [batch_id" in below
 
 
+@pytest.mark.parametrize("small_bytes, broadcast", [(1 << 20, True), (0, False)])
+def test_lookup_join_measures_and_salts(spark, small_bytes, broadcast):
+    table = spark.range(97).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name"))
+    got = J.lookup_join(hot(spark), table, "k", "id", small_bytes)
+    assert got.count() == 4000 and got.filter("name <> concat('n', k)").count() == 0
+    assert ("__salt" in got._jdf.queryExecution().analyzed().toString()) is not broadcast
+
+
 def hot(spark, n=4000):
     """A third of the rows share one key."""
     return spark.range(n).select(
