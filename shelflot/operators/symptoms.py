@@ -90,23 +90,52 @@ def tokenise(df: DataFrame, text: str = "symptoms", id: str = "id") -> DataFrame
     )
 
 
-def term_rows(df: DataFrame, text: str = "symptoms", id: str = "id") -> DataFrame:
-    """(id, term): the terms of ``tokenise``, a row each.
+def _pair_rows(df: DataFrame, text: str, id: str) -> DataFrame:
+    """(id, word, next): every word with its follower, NULL after the last.
 
-    Words are zipped with their followers and exploded first, so the pairs are joined up in
-    generated code. The outer form of explode keeps Spark from testing the list beforehand,
-    which would tokenise twice.
+    The outer form of explode keeps Spark from testing the list beforehand, which would
+    tokenise twice; a text without words gives one row of NULLs.
     """
     beside = F.arrays_zip(F.col("words").alias("word"), _following("words").alias("next"))
-    pair = F.concat("z.word", F.lit(" "), "z.next")
     return (
         df.select(F.col(id).alias("id"), _words(text).alias("words"))
         .select("id", F.explode_outer(beside).alias("z"))
-        .select("id", F.explode_outer(F.array("z.word", pair)).alias("term"))
-        .filter(F.col("term").isNotNull())
+        .select("id", "z.word", "z.next")
     )
 
 
+def _joined() -> Column:
+    return F.concat("word", F.lit(" "), "next")
+
+
+def term_rows(df: DataFrame, text: str = "symptoms", id: str = "id") -> DataFrame:
+    """(id, term): the terms of ``tokenise``, a row each, in no order."""
+    both = F.explode_outer(F.array("word", _joined()))
+    return _pair_rows(df, text, id).select("id", both.alias("term")).filter(F.col("term").isNotNull())
+
+
+def frequent_terms(texts: DataFrame, n: int, text: str = "text", id: str = "id") -> DataFrame:
+    """(term, n): the ``n`` most frequent terms; ties go to the earlier term.
+
+    Words are counted first. A pair is never more frequent than either of its words, so once
+    there are ``n`` words, pairs of words rarer than the last of them cannot be among the
+    ``n``: only the pairs of frequent words are counted, of which there are few, instead of
+    shuffling every pair that occurs.
+    """
+    pairs = _pair_rows(texts, text, id)
+    counted = F.count(F.lit(1)).alias("n")
+    words = pinned(pairs.filter(F.col("word").isNotNull()).groupBy(F.col("word").alias("term")).agg(counted))
+    best = words.orderBy(F.desc("n"), "term").limit(n).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).first()
+    least = best["least"] if best["k"] == n else 0
+    frequent = words.filter(F.col("n") >= least)
+    followed = pairs.filter(F.col("word").isNotNull() & F.col("next").isNotNull())
+    if least > 1:
+        for column in ("word", "next"):
+            followed = lookup_join(followed, frequent.select(F.col("term").alias(column)), column, "id")
+    both = frequent.unionByName(followed.groupBy(_joined().alias("term")).agg(counted))
+    return both.orderBy(F.desc("n"), "term").limit(n)
+
+
 def _frequencies(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, term, tf) for the terms in the vocabulary.
 
@@ -130,13 +159,12 @@ def fit_tfidf(
 ) -> Tfidf:
     """Vocabulary of the most frequent terms with smoothed idf, and the documents' weights.
 
-    The texts are read twice: once to count terms, once to keep those in the vocabulary. Both
-    results are stored, so nothing later reads the texts again.
+    The texts are read three times: to count words, to count pairs of frequent words, and to
+    keep the terms in the vocabulary. The results are stored, so nothing later reads the texts
+    again.
     """
-    terms = term_rows(texts, text, id)
-    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    chosen = pinned(counted.orderBy(F.desc("n"), "term").limit(max_features).select("term"))
-    frequencies = pinned(_frequencies(terms, chosen))
+    chosen = pinned(frequent_terms(texts, max_features, text, id).select("term"))
+    frequencies = pinned(_frequencies(term_rows(texts, text, id), chosen))
     documents = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = F.log((documents + 1) / (F.col("df") + 1)) + 1
     vocabulary = pinned(

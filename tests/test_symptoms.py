@@ -67,6 +67,16 @@ def test_tokens(spark, texts):
     assert rows == sorted((i, t) for i, text, _ in TEXTS for t in terms_of(text))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 100])
+def test_frequent_terms(spark, n):
+    words = ["aa", "bb", "cc", "dd"]
+    rows = [(i, " ".join(words[(i * j) % 4 if j % 3 else 0] for j in range(i % 9))) for i in range(60)]
+    counts = Counter(t for _, text in rows for t in terms_of(text))
+    wanted = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:n]
+    got = M.frequent_terms(spark.createDataFrame(rows, "id bigint, text string"), n)
+    assert sorted((r.term, r.n) for r in got.collect()) == sorted(wanted)
+
+
 def test_model(model):
     idf, prior, log_prob = plain_model(TEXTS, 12)
     assert {r.term: r.idf for r in model.vocabulary.collect()} == pytest.approx(idf)
