@@ -66,7 +66,7 @@ def main(argv: list[str]) -> int:
 
     directory = argv[0] if argv else "/root/testdata/sf0.01"
     queries, oracles = entry.queries(), entry.oracle_sql()
-    wanted = argv[1:] or list(queries)
+    wanted = argv[1:] or list(oracles)
     spark = build_session(
         master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
     )
