@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelflot.session import pinned
+from shelflot.session import partitions, pinned
 
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 4 << 20
@@ -110,30 +110,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     collected, and each round is kept with ``checkpoint()``. Self links are allowed; nodes are
     of any ordered type and not NULL.
     """
-    ends = [F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")]
-    start = edges.select(*ends).distinct()
-    nodes = start.select(F.col("lo").alias("node")).union(start.select(F.col("hi"))).distinct()
-    pairs, before = pinned(start.where("lo < hi")), None
+    given = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+    # Edges are few beside the rows they come from, so they are kept in fewer parts.
+    parts = max(1, partitions(edges.sparkSession) // 8)
+    start = pinned(given.distinct().coalesce(parts))
+    pairs, before = start.where("lo < hi"), None
     while True:
         both = pairs.union(pairs.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = both.groupBy("lo").agg(F.least(F.min("hi"), F.first("lo")).alias("root"))
-        large = (
-            both.join(least, "lo").where("hi > lo")
-            .select(F.col("root").alias("lo"), "hi").distinct()
-        )
+        large = both.join(least, "lo").where("hi > lo").select(F.col("root").alias("lo"), "hi")
         root = large.groupBy("hi").agg(F.min("lo").alias("root"))
-        linked = large.join(root, "hi")
-        small = linked.select(F.col("root").alias("lo"), "hi").union(
-            linked.where("lo > root").select(F.col("root").alias("lo"), F.col("lo").alias("hi"))
-        )
-        pairs = pinned(small.distinct())
-        state = pairs.agg(
-            F.count("*"), F.countDistinct("hi"), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)"))
-        ).first()
+        linked = large.join(root, "hi").select("root", "lo", "hi")
+        inner = linked.where("lo > root").select(F.col("root").alias("lo"), F.col("lo").alias("hi"))
+        small = linked.select(F.col("root").alias("lo"), "hi").union(inner)
+        pairs = pinned(small.distinct().coalesce(parts))
+        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)"))).first()
         if state == before:
             break
         before = state
-    found = pairs.groupBy("hi").agg(F.min("lo").alias("component"))
-    return nodes.join(found, nodes["node"] == found["hi"], "left").select(
-        "node", F.coalesce("component", "node").alias("component")
+    # At rest every node that is not the least of its component is linked with that node alone.
+    roots = start.select(F.col("lo").alias("hi")).union(start.select("hi")).distinct().join(pairs, "hi", "left_anti")
+    return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
+        roots.select(F.col("hi").alias("node"), F.col("hi").alias("component"))
     )

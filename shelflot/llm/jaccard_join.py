@@ -11,10 +11,10 @@ document alone has lead to no pair, so most documents are done when their prefix
    leaves the order one order.
 2. Documents with the same prefix and size form a group; equal sets are one variant in it. Groups meet by
    the shingles of their prefixes, once for a whole group; sizes filter the pairs.
+   A document that shares any of its prefix keeps its set beside it.
 3. Group pairs are expanded to pairs of variants. A variant carries 256 bits, each the parity of its
    shingles there; more bits differ between two variants than shingles may only if they are not linked, so the
-   join passes few others. The full sets of what it passes are made from one text each and compared
-   exactly.
+   join passes few others. The full sets of what it passes are compared exactly.
 
 Only components are asked for. So variants of a shingle are first compared in small random parts, in a few
 rounds, and then only those pairs that may still connect different components. A large group of near
@@ -42,10 +42,10 @@ REMEMBERED = 300_000
 #: Documents in a chunk, about.
 CHUNK_ROWS = 2_000
 #: Rounds of comparisons in random parts of a shingle's variants, and the size of a part, about.
-ROUNDS, PART = 2, 6
+ROUNDS, PART = 1, 8
 
 _PACKET = "chunk bigint, hashes binary, counts binary"
-_DOCS = "doc_id bigint, text_hash bigint, n int, fp string, prefix string, parity array<bigint>, shared array<bigint>"
+_DOCS = "doc_id bigint, text_hash bigint, n int, fp string, prefix string, parity array<bigint>, shared array<bigint>, whole binary"
 _VARIANTS = "fp string, n int, prefix string, parity array<bigint>, doc_id bigint, text_hash bigint, shared array<bigint>"
 
 
@@ -190,30 +190,14 @@ def prefixes(chunked: DataFrame, shared: DataFrame, words: int, numerator: int,
                 times[known] = counts[where[known]]
             first = np.lexsort((full, times))[: n - int(needed(n, numerator, denominator)) + 1]
             several = full[first][times[first] > 1]
-            out.append((doc_id, text_hash, n, _print(full), _print(full[first]), parity(full), several.view(np.int64)))
-        found = pd.DataFrame(out, columns=["doc_id", "text_hash", "n", "fp", "prefix", "parity", "shared"])
+            whole = full.tobytes() if len(several) else None
+            out.append((doc_id, text_hash, n, _print(full), _print(full[first]), parity(full), several.view(np.int64), whole))
+        found = pd.DataFrame(out, columns=["doc_id", "text_hash", "n", "fp", "prefix", "parity", "shared", "whole"])
         return found.astype({"doc_id": "Int64"})
 
     return chunked.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(assign, _DOCS)
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``fp, whole`` of wanted variants, the set as bytes, from one text of each."""
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("text_hash"), "text"]
-    one = wanted.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "text_hash")
-    texts = docs.select(*key).join(one, ["id", "text_hash"], "left_semi").select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(words)
-        for batch in slices(batches):
-            sets = [make(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_print(s) for s in sets], pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "whole"]
-            )
-
-    return texts.mapInArrow(run, "fp string, whole binary").groupBy("fp").agg(F.first("whole").alias("whole"))
-
-
 def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Those of the pairs ``a, b`` of variants whose sets are alike enough, by exact intersection."""
 
@@ -309,10 +293,10 @@ def classes(
 
     members = variants.select("prefix", "n", "fp", "parity", "doc_id", "text_hash")
     entries = pinned(candidates.join(members, ["prefix", "n"]).select("token", "fp", "n", "parity"))
-    wanted = members.join(entries.select("fp").distinct(), "fp", "left_semi")
-    sets = _full_sets(docs, wanted, words)
-    sets.write.parquet(f"{path}/sets")
-    sets = spark.read.schema("fp string, whole binary").parquet(f"{path}/sets")
+    # The set of each variant that meets another, from the row that stands for the variant.
+    wanted = members.join(entries.select("fp").distinct(), "fp", "left_semi").select("fp", "text_hash", F.coalesce("doc_id", F.lit(-1)).alias("id"))
+    rows = found.where("whole is not null").select("fp", "text_hash", F.coalesce("doc_id", F.lit(-1)).alias("id"), "whole")
+    sets = pinned(rows.join(wanted, ["fp", "text_hash", "id"], "left_semi").groupBy("fp").agg(F.first("whole").alias("whole")))
 
     links = None
     for turn in range(ROUNDS):
@@ -322,8 +306,7 @@ def classes(
     placed = pinned(_placed(entries, links))
     still = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     rest = _cross_pairs(placed.join(still, "token", "left_semi"), ["token"], numerator, denominator)
-    links = links.union(verified(rest, sets, numerator, denominator))
-    final = components(links).withColumnRenamed("node", "fp")
+    final = components(links.union(verified(rest, sets, numerator, denominator))).withColumnRenamed("node", "fp")
     classed = found.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "fp").join(final, "fp", "left")
     classed = classed.withColumn("component", F.coalesce("component", "fp"))
     least = classed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
