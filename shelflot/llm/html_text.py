@@ -220,7 +220,7 @@ def extract(page: str | None) -> str:
             node = node.parent
         if element.tag in HEADINGS:
             continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
+        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(linked / len(text), 1))
         share, node, level = 1.0, element.parent or element, 0
         while node and level < 5:
             if node.tag != "#root" or node is element:

@@ -2,12 +2,13 @@
 
 One model for toxic and one for ordinary words gives the chance of each letter after the five
 before it, inside its word. Both back off to the same shared counts: the pooled model of that
-order, which backs off to continuation counts of pairs, single letters and an even spread. Where
-neither class has evidence the shared part cancels, so rare expressions compare as equal.
+order, which backs off to continuation counts of pairs and of single letters. Where neither class has
+seen a letter after its context the shared part cancels and it is no evidence, so rare expressions
+compare as equal, however much less is known of one class.
 
 Training counts cover every labelled row that is not held out; they are combined in each task
-before the shuffle. The comparison is kept in two tables of fixed size, addressed by hash, so what
-goes to the workers does not grow with the data.
+before the shuffle. The comparison is kept in a table of fixed size, addressed by hash, so what goes to
+the workers does not grow with the data.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from shelflot.llm.common import extend, fold, ship, slices, table
 
 CONTEXT = 5
 DISCOUNT = 0.75
-#: Places of the two tables, as powers of two: letters after a context, and contexts.
-LETTER_BITS, CONTEXT_BITS = 24, 22
+#: Places of the table of letters after a context, as a power of two.
+LETTER_BITS = 24
 #: Words in a window whose mean comparison is a feature beside the text's.
 WINDOW = 8
 #: Labelled rows, in the order of a hash, that calibrate the score at most.
@@ -44,16 +45,11 @@ _COUNTS = "letter bigint, context bigint, triple bigint, pair bigint, code bigin
 @dataclass
 class Model:
     letters: np.ndarray
-    contexts: np.ndarray
     weights: np.ndarray
     center: np.ndarray
     scale: np.ndarray
 
 
-def _places(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _counted(counts: Counter) -> pa.RecordBatch:
     """The letters of counted words ((word, class) -> times), summed by their contexts."""
     words = list(dict.fromkeys(w for w, _ in counts))
@@ -90,7 +86,7 @@ def letter_counts(labelled: DataFrame) -> DataFrame:
 
 
 def comparison(counts: DataFrame) -> DataFrame:
-    """The log-ratio of the two models for each letter after its context, and for a letter not seen there.
+    """``letter, weight, ratio``: the log-ratio of the two models for each letter after its context.
 
     Windows are over one context and hold at most the letters of the alphabets.
     """
@@ -123,39 +119,29 @@ def comparison(counts: DataFrame) -> DataFrame:
         own = (F.greatest(F.col(count) - d, F.lit(0.0)) + d * F.col(kinds) * F.col("shared")) / F.col(total)
         return F.when(F.col(total) > 0, own).otherwise(F.col("shared"))
 
-    def rest(total: str, kinds: str):
-        return F.when(F.col(total) > 0, d * F.col(kinds) / F.col(total)).otherwise(F.lit(1.0))
-
-    return known.select(
-        "letter",
-        "context",
-        F.col("n").alias("weight"),
-        F.log(chance("toxic", "nt", "kt") / chance("ordinary", "no", "ko")).alias("ratio"),
-        F.col("na").alias("context_weight"),
-        F.log(rest("nt", "kt") / rest("no", "ko")).alias("rest"),
-    )
+    ratio = F.log(chance("toxic", "nt", "kt") / chance("ordinary", "no", "ko"))
+    return known.select("letter", F.col("n").alias("weight"), ratio.alias("ratio"))
 
 
-def _table(rows: DataFrame, key: str, value: str, weight: str, bits: int) -> np.ndarray:
-    """A table of 2**bits places; where keys meet, the one with most evidence stands."""
-    place = F.shiftrightunsigned(F.col(key), 64 - bits).cast("int")
-    best = rows.groupBy(place.alias("place")).agg(F.max_by(value, F.struct(weight, key)).cast("float").alias("value")).toArrow()
-    out = np.full(1 << bits, np.nan, np.float16)
-    out[best["place"].to_numpy()] = best["value"].to_numpy()
+def _table(rows: DataFrame) -> np.ndarray:
+    """Ratios by place; where letters meet in one, that with most evidence stands, an empty place is zero."""
+    place = F.shiftrightunsigned("letter", 64 - LETTER_BITS).cast("int")
+    best = rows.groupBy(place.alias("place")).agg(F.max_by("ratio", F.struct("weight", "letter")).cast("float").alias("ratio")).toArrow()
+    out = np.zeros(1 << LETTER_BITS, np.float16)
+    out[best["place"].to_numpy()] = best["ratio"].to_numpy()
     return out
 
 
 class Comparer:
     """Compares words by the model, remembering those it has seen."""
 
-    def __init__(self, letters: np.ndarray, contexts: np.ndarray):
-        self.letters, self.contexts, self.known = letters, contexts, {}
+    def __init__(self, letters: np.ndarray):
+        self.letters, self.known = letters, {}
 
     def learn(self, new: list[str]) -> None:
         parts = Words(new)
-        ratios = self.letters[_places(parts.keys(0, CONTEXT), LETTER_BITS)].astype(float)
-        rest = self.contexts[_places(parts.keys(1, CONTEXT), CONTEXT_BITS)].astype(float)
-        ratios = np.where(np.isnan(ratios), np.nan_to_num(rest), ratios)
+        places = (parts.keys(0, CONTEXT) >> np.uint64(64 - LETTER_BITS)).astype(np.int64)
+        ratios = self.letters[places].astype(float)
         sums = per_text(ratios, parts.word_text[parts.word], len(new))
         self.known.update(zip(new, sums.tolist(), strict=True))
 
@@ -182,9 +168,9 @@ class Comparer:
         return out
 
 
-def _features(df: DataFrame, letters, contexts, text: str = "text") -> DataFrame:
+def _features(df: DataFrame, letters, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        comparer = Comparer(letters.value, contexts.value)
+        comparer = Comparer(letters.value)
         for batch in batches:
             found = comparer.features(batch.column(0).to_pylist())
             yield [pa.array(found[:, k], pa.float64()) for k in range(3)]
@@ -220,20 +206,16 @@ def fit(labelled: DataFrame, calibration: DataFrame) -> Model:
     Rows with a NULL label are left out. Without rows of a class the score is a constant.
     """
     spark = labelled.sparkSession
-    rows = comparison(letter_counts(labelled.where("toxic is not null"))).persist()
-    letters = _table(rows, "letter", "ratio", "weight", LETTER_BITS)
-    contexts = _table(rows, "context", "rest", "context_weight", CONTEXT_BITS)
-    rows.unpersist()
-    context = spark.sparkContext
+    letters = _table(comparison(letter_counts(labelled.where("toxic is not null"))))
     sample = (
         calibration.where("toxic is not null")
         .select("text", F.col("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("text"), "toxic")
         .limit(CALIBRATION_ROWS)
     )
-    found = _features(sample, context.broadcast(letters), context.broadcast(contexts)).select("toxic", "__f0", "__f1", "__f2").toArrow()
+    found = _features(sample, spark.sparkContext.broadcast(letters)).select("toxic", "__f0", "__f1", "__f2").toArrow()
     features = np.column_stack([found[f"__f{k}"].to_numpy() for k in range(3)])
-    return Model(letters, contexts, *logistic(features, found["toxic"].to_numpy().astype(float)))
+    return Model(letters, *logistic(features, found["toxic"].to_numpy().astype(float)))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -241,8 +223,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
 
     Repeated rows score alike; all columns are kept and one named as ``out`` is replaced.
     """
-    context = df.sparkSession.sparkContext
-    with_features = _features(df, context.broadcast(model.letters), context.broadcast(model.contexts), text)
+    with_features = _features(df, df.sparkSession.sparkContext.broadcast(model.letters), text)
     logit = F.lit(float(model.weights[0]))
     for k in range(3):
         logit = logit + F.lit(float(model.weights[k + 1])) * (F.col(f"__f{k}") - float(model.center[k])) / float(model.scale[k])
