@@ -36,6 +36,8 @@ WINDOW = 8
 CALIBRATION_ROWS = 50_000
 #: Words whose comparison a worker remembers; it forgets all of them beyond, which changes no result.
 REMEMBERED = 200_000
+#: Labels that are sent to every worker at most; more are joined by a shuffle.
+BROADCAST_LABELS = 2_000_000
 #: Distinct words after which a task passes on what it has counted.
 COUNTED = 300_000
 
@@ -233,6 +235,8 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on the labelled documents: folds 2 to 4 of five count, fold 1 calibrates, fold 0 is held out."""
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").distinct()
+    if known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)
     rows = documents.select("doc_id", "text").join(known, "doc_id")
     part = fold("doc_id", 5)
     return fit(rows.where(part >= 2).select("text", "toxic"), rows.where(part == 1).select("text", "toxic"))
