@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 import zipfile
@@ -101,21 +102,29 @@ def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """Connected components of an edge table: rows (node, component), the smallest node of each.
 
     Alternating star contractions: each round links every node's larger neighbours to its smallest
     neighbour, then its smaller ones, so that the number of rounds grows with the logarithm of
     the size, whatever the shape. A node's neighbours are only aggregated and joined, never
     collected, and each round is kept with ``checkpoint()``. Self links are allowed; nodes are
-    of any ordered type and not NULL.
+    of any ordered type and not NULL. With ``rounds`` the work ends after as many: nodes of one component
+    may then still have different ones, but nodes of different components never the same.
     """
     given = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
     # Edges are few beside the rows they come from, so they are kept in fewer parts.
     parts = max(1, partitions(edges.sparkSession) // 8)
     start = pinned(given.distinct().coalesce(parts))
-    pairs, before = start.where("lo < hi"), None
-    while True:
+    pairs, before, done = start.where("lo < hi"), None, 0
+    while done != rounds:
+        done += 1
         both = pairs.union(pairs.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = both.groupBy("lo").agg(F.least(F.min("hi"), F.first("lo")).alias("root"))
         large = both.join(least, "lo").where("hi > lo").select(F.col("root").alias("lo"), "hi")
@@ -128,8 +137,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before:
             break
         before = state
+    release(edges.sparkSession)
+    linked = pairs if rounds is None else pairs.groupBy("hi").agg(F.min("lo").alias("lo"))
     # At rest every node that is not the least of its component is linked with that node alone.
-    roots = start.select(F.col("lo").alias("hi")).union(start.select("hi")).distinct().join(pairs, "hi", "left_anti")
-    return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
+    roots = start.select(F.col("lo").alias("hi")).union(start.select("hi")).distinct().join(linked, "hi", "left_anti")
+    return linked.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
         roots.select(F.col("hi").alias("node"), F.col("hi").alias("component"))
     )

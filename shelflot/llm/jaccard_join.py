@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelflot.llm.chars import mixed
-from shelflot.llm.common import components, ship, slices, table
+from shelflot.llm.common import components, release, ship, table
 from shelflot.session import partitions, pinned, run_dir
 
 WORDS, NUMERATOR, DENOMINATOR = 3, 90, 100
@@ -42,7 +42,7 @@ REMEMBERED = 300_000
 #: Documents in a chunk, about.
 CHUNK_ROWS = 2_000
 #: Rounds of comparisons in random parts of a shingle's variants, and the size of a part, about.
-ROUNDS, PART = 1, 8
+ROUNDS, PART = 1, 5
 
 _PACKET = "chunk bigint, hashes binary, counts binary"
 _DOCS = "doc_id bigint, text_hash bigint, n int, fp string, prefix string, parity array<bigint>, shared array<bigint>, whole binary"
@@ -252,10 +252,13 @@ def _cross_pairs(entries: DataFrame, keys: list[str], numerator: int, denominato
 
 
 def _placed(entries: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Entries with the component that their variant is in by the links so far."""
+    """Entries with a component that their variant is in by the links so far.
+
+    Star contractions are not carried to the end here: what they leave apart only costs comparisons.
+    """
     if links is None:
         return entries.withColumn("component", F.col("fp"))
-    found = components(links).withColumnRenamed("node", "fp")
+    found = components(links, rounds=3).withColumnRenamed("node", "fp")
     return entries.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
@@ -275,6 +278,8 @@ def classes(
     chunked = dealt(docs)
     shared = shared_shingles(chunked, words)
     prefixes(chunked, shared, words, numerator, denominator).write.parquet(f"{path}/documents")
+    del chunked, shared
+    release(spark)
     found = spark.read.schema(_DOCS).parquet(f"{path}/documents")
 
     # Variants are distinct sets; a group is the variants with one prefix and size.
@@ -293,6 +298,7 @@ def classes(
 
     members = variants.select("prefix", "n", "fp", "parity", "doc_id", "text_hash")
     entries = pinned(candidates.join(members, ["prefix", "n"]).select("token", "fp", "n", "parity"))
+    release(spark)
     # The set of each variant that meets another, from the row that stands for the variant.
     wanted = members.join(entries.select("fp").distinct(), "fp", "left_semi").select("fp", "text_hash", F.coalesce("doc_id", F.lit(-1)).alias("id"))
     rows = found.where("whole is not null").select("fp", "text_hash", F.coalesce("doc_id", F.lit(-1)).alias("id"), "whole")
