@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -180,6 +181,12 @@ class WordEncoder:
         return (np.concatenate(flat) if flat else np.zeros(0, np.uint32)), lengths
 
 
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each vocabulary in a worker process, which keeps its words from task to task."""
+    return WordEncoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int | None = END_ID) -> None:
     """Encode ``doc_id, text`` and write the ids in ascending doc_id order.
 
@@ -195,7 +202,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, start = WordEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        coder, part, start = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for k, batch in enumerate(slices(batches)):
             ids, lengths = coder(batch.column(0).to_pylist(), end_id)
             row = [part, k, start, len(ids), batch.column(1).to_pylist(), lengths.tolist(), encode_ids(ids)]
