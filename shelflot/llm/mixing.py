@@ -21,7 +21,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelflot.functions.ranks import running_total
 from shelflot.llm.common import table
 from shelflot.session import partitions, pinned
 
@@ -91,7 +90,7 @@ def mix(
     rows = rows.withColumn("copy", F.row_number().over(alike))
     order = F.xxhash64("doc_id", "text_hash", "copy")
     rows = pinned(rows.withColumn("order", order))
-    placed = pinned(running_total(rows, ["source"], ["order", "doc_id", "text_hash", "copy"], "size", "upto"))
+    placed = pinned(_with_upto(rows))
     placed = placed.withColumn("block", F.floor((F.col("upto") - F.col("size")) / block_chars).cast("long"))
     sizes = placed.groupBy("source").agg(F.sum("size").alias("size"), (F.max("block") + 1).alias("blocks"))
     found = {r["source"]: r for r in sizes.limit(MAX_SOURCES + 1).collect()}
@@ -116,6 +115,23 @@ def mix(
     )
 
 
+def _with_upto(rows: DataFrame) -> DataFrame:
+    """Rows with ``upto``, the sizes of their source's rows up to them in the shuffled order.
+
+    The order is a hash, so equal ranges of it cut a source, however hot, into parts of about equal
+    size. Rows are summed in their part, and a window over one total for each part gives what lies before.
+    """
+    parts = partitions(rows.sparkSession)
+    part = F.floor((F.shiftright("order", 40) + F.lit(1 << 23)) * parts / F.lit(1 << 24)).cast("int")
+    cut = rows.withColumn("part", part)
+    inside = Window.partitionBy("source", "part").orderBy("order", "doc_id", "text_hash", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("source", "part").agg(F.sum("size").alias("total"))
+    before = totals.select("source", "part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
+    summed = cut.withColumn("upto", F.sum("size").over(inside)).join(before, ["source", "part"])
+    return summed.withColumn("upto", F.col("upto") + F.col("before")).drop("part", "before")
+
+
 def _plan(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int]) -> tuple[DataFrame, DataFrame]:
     """One period's slots, and for each source its share, blocks and occurrences until the mix ends."""
     slots, period = shares(weights) if weights else ({}, 1)
