@@ -18,7 +18,9 @@ Parts of fixed length are padded with zeros to a multiple of eight bytes.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -26,7 +28,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -142,12 +146,44 @@ class Codes:
         return values
 
 
+#: Printable characters below U+0250, whose classes no version of Unicode has changed.
+_LATIN = re.compile("[\x21-\x7e\xa1-\xac\xae-ɏ]+")
+
+
+def _byte_characters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_characters()
+
+
+def _split_pattern(file: dict) -> regex.Pattern | None:
+    """The pattern whose matches are the pieces, if the file splits by one and then writes bytes as characters."""
+    steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if not file.get("normalizer") or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return None
+    split, byte_level = steps
+    if "Regex" not in split["pattern"] or not split["invert"] or split["behavior"] != "Removed":
+        return None
+    if byte_level["add_prefix_space"] or byte_level["use_regex"]:
+        return None
+    found = regex.compile(split["pattern"]["Regex"])
+    return None if found.groups else found
+
+
 class WordEncoder:
     """Ids of texts by a vocabulary file that splits at white space in any case.
 
     Words between spaces, tabs and line ends are encoded once by the tokenizers library and
     remembered; since its pattern drops white space and no match spans it, their ids put
     together are the ids of the text. Names of special tokens in a text are ordinary text.
+
+    Words of printable Latin characters fall into fewer pieces by the file's own pattern, so for them
+    the library's normalizer and model are called for each piece instead of for each word; other words,
+    and files with another pre-tokenizer, go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -156,29 +192,59 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.pattern = _split_pattern(json.loads(self.tokenizer.to_str()))
         self.known: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, texts: list[str | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        self.pieces: dict[str, tuple[int, ...]] = {}
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        found = self.pieces.get(piece)
+        if found is None:
+            shown = piece if piece.isascii() else "".join([_BYTE_CHARS[b] for b in piece.encode()])
+            found = self.pieces[piece] = tuple([t.id for t in self.tokenizer.model.tokenize(shown)])
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if _LATIN.fullmatch(w)] if self.pattern else []
+        # Normalized together: no character of theirs combines with a space.
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(plain)).split(" ") if plain else []
+        if len(normal) != len(plain):
+            plain = normal = []
+        for word, text in zip(plain, normal, strict=True):
+            parts = self.pattern.findall(text)
+            if len(parts) == 1:
+                self.known[word] = self._piece(parts[0])
+            else:
+                self.known[word] = tuple(chain.from_iterable([self._piece(p) for p in parts]))
+        rest = [w for w in words if w not in self.known]
+        for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.known[word] = tuple(found.ids)
+
+    def __call__(self, texts: list[str | None] | pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each with the end id behind it, and the length of each."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        wanted = set()
-        for words in split:
-            wanted.update(words)
+        clean = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        for space in "\n\t\r":
+            clean = pc.replace_substring(clean, space, " ")
+        split = pc.split_pattern(clean, " ")
+        coded = split.flatten().dictionary_encode()
+        words, places = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [w for w in wanted if w not in self.known]
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        known = self.known
+        new = [w for w in words if w not in known]
         for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = tuple(found.ids)
-        tail = [] if end_id is None else [end_id]
-        flat, lengths, known = [], np.zeros(len(split), np.int64), self.known
-        for i, words in enumerate(split):
-            ids = list(chain.from_iterable([known[w] for w in words]))
-            ids += tail
-            flat.append(np.array(ids, np.uint32))
-            lengths[i] = len(ids)
-        return (np.concatenate(flat) if flat else np.zeros(0, np.uint32)), lengths
+            self._learn(new[k : k + 20_000])
+        ids = [known[w] for w in words]
+        ids.append(() if end_id is None else (end_id,))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        table, starts = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+        places = np.insert(places, ends, len(words))  # the end id is one more word of each text
+        n = sizes[places]
+        upto = np.cumsum(n)
+        flat = table[np.repeat(starts[places] - (upto - n), n) + np.arange(int(n.sum()))]
+        return flat, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
 
 @cache
@@ -204,7 +270,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, start = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for k, batch in enumerate(slices(batches)):
-            ids, lengths = coder(batch.column(0).to_pylist(), end_id)
+            ids, lengths = coder(batch.column(0), end_id)
             row = [part, k, start, len(ids), batch.column(1).to_pylist(), lengths.tolist(), encode_ids(ids)]
             start += len(ids)
             yield pa.RecordBatch.from_arrays(
@@ -228,30 +294,28 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     return stored.join(offsets, "part").withColumn("start", F.col("start_in_part") + F.col("offset"))
 
 
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+    """Documents of segments, 512 at a time: their doc_id, start and n_tokens, their ids, and where each begins in these."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            code, start, doc_ids, lengths = (batch.column(c)[row].as_py() for c in range(4))
+            codes, at = Codes(code), 0
+            for k in range(0, len(doc_ids), 512):
+                own = lengths[k : k + 512]
+                offsets = np.cumsum([0, *own])
+                columns = [pa.array(doc_ids[k : k + 512], pa.int64()), pa.array(start + at + offsets[:-1], pa.int64()), pa.array(own, pa.int64())]
+                yield columns, codes.read(at, at + int(offsets[-1])), offsets
+                at += int(offsets[-1])
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Every document of token files: doc_id, start, n_tokens, ids."""
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                code, start, doc_ids, lengths = (batch.column(c)[row].as_py() for c in range(4))
-                codes, at = Codes(code), 0
-                for k in range(0, len(doc_ids), 512):
-                    own = lengths[k : k + 512]
-                    starts = start + at + np.cumsum([0, *own[:-1]])
-                    ids = codes.read(at, at + sum(own))
-                    at += sum(own)
-                    offsets = np.cumsum([0, *own]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(doc_ids[k : k + 512], pa.int64()),
-                            pa.array(starts, pa.int64()),
-                            pa.array(own, pa.int64()),
-                            pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int64))),
-                        ],
-                        names=["doc_id", "start", "n_tokens", "ids"],
-                    )
+        for columns, ids, offsets in _stored(batches):
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*columns, lists], names=["doc_id", "start", "n_tokens", "ids"])
 
     return segments(spark, path).select("code", "start", "doc_ids", "lengths").mapInArrow(run, schema)
 
@@ -287,13 +351,12 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(3)
-            flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for columns, ids, offsets in _stored(batches):
+            data = ids.astype("<u4", copy=False)
+            sums = [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_tokens(spark, path).mapInArrow(run, schema)
+    return segments(spark, path).select("code", "start", "doc_ids", "lengths").mapInArrow(run, schema)
 
 
 def op6_token_files(spark: SparkSession, directory: str) -> DataFrame:

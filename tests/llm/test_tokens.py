@@ -56,6 +56,8 @@ def test_word_encoder_is_the_library():
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True
     texts = [*TEXTS, "é Ä B's don't", "İx ΣΣ 1234"]
+    texts += ["\u0130'Sx 'RE's \xbdx\xb2\xaa!? \xe9a a\xadb a\xa0b a\x85b \x0bq\x0c \xc0\xc9*** \u0149 \u01c5 x_9\xbd"]
+    texts += [joint.join(map(chr, range(0x21, 0x2B0))) for joint in ("", " ")]
     flat, lengths = dac_tokens.WordEncoder(path)(texts)
     expected = [whole.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
     assert lengths.tolist() == [len(x) for x in expected]
