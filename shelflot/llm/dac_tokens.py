@@ -43,8 +43,9 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 MAGIC = 0x31434144
 BLOCK_BITS = 512
-#: Words whose ids a worker remembers; it forgets all of them beyond, which changes no result.
-REMEMBERED = 150_000
+#: Words, and pieces of words, whose ids a worker remembers (about 100 MB in all); it forgets all of them
+#: beyond, which changes no result.
+REMEMBERED = 400_000
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
 
 SEGMENT = T.StructType(
