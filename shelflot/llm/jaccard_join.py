@@ -164,7 +164,8 @@ def shared_shingles(chunked: DataFrame, words: int) -> DataFrame:
                 out.append((chunk, pack(x[several]), _planes(mine[several])))
         return pd.DataFrame(out, columns=["chunk", "hashes", "counts"])
 
-    sent = chunked.select("chunk", "text").groupBy("chunk").applyInPandas(send, f"bucket int, {_PACKET}")
+    # All columns, as ``prefixes`` takes them, so that both read one exchange of the texts.
+    sent = chunked.groupBy("chunk").applyInPandas(send, f"bucket int, {_PACKET}")
     return sent.groupBy("bucket").applyInPandas(count, _PACKET)
 
 
@@ -330,12 +331,12 @@ def one_of_each(docs: DataFrame, words: int = 5, numerator: int = 80, denominato
     """
     found = classes(docs, words, numerator, denominator)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = found.groupBy("component").agg(F.min(order).alias("d")).select(
-        F.col("d.doc_id").alias("__id"), F.col("d.text_hash").alias("__own")
-    )
-    worded = docs.where(~without_words()).withColumn("__hash", F.xxhash64("text"))
-    same = worded["doc_id"].eqNullSafe(first["__id"]) & (worded["__hash"] == first["__own"])
-    kept = worded.join(first, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    first = found.groupBy("component").agg(F.min(order).alias("d"))
+    # Plain keys on both sides: the join's exchange of the texts serves the removal of repeated rows too.
+    keys = {"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(), "__hash": F.col("text_hash")}
+    first = first.select("d.doc_id", "d.text_hash").select(*[v.alias(k) for k, v in keys.items()])
+    worded = docs.where(~without_words()).withColumns(keys | {"__id": keys["__id"].cast("long"), "__hash": F.xxhash64("text")})
+    kept = worded.join(first, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)
     return kept.unionByName(docs.where(without_words()))
 
 
