@@ -7,8 +7,9 @@ seen a letter after its context the shared part cancels and it is no evidence, s
 compare as equal, however much less is known of one class.
 
 Training counts cover every labelled row that is not held out; they are combined in each task
-before the shuffle. The comparison is kept in a table of fixed size, addressed by hash, so what goes to
-the workers does not grow with the data.
+before the shuffle. The whole comparison is kept as a table by the full 64-bit key of a letter after
+its context, which grows with the data; a key that is not in it is no evidence. Up to a bound it is sent to
+the workers; a larger one is joined with the letters of the texts' distinct words, with the same results.
 """
 
 from __future__ import annotations
@@ -25,11 +26,16 @@ from pyspark.sql import types as T
 
 from shelflot.llm.chars import Words, per_text
 from shelflot.llm.common import extend, fold, ship, slices, table
+from shelflot.session import pinned, run_dir
 
 CONTEXT = 5
 DISCOUNT = 0.75
-#: Places of the table of letters after a context, as a power of two.
-LETTER_BITS = 24
+#: Letters after a context that are sent to every worker at most (12 bytes each); more are joined by a shuffle.
+BROADCAST_LETTERS = 8_000_000
+#: Log-ratios are kept in whole units of one over this, so that their sums do not depend on any order.
+UNITS = 1 << 20
+#: Words of more than one part in so many of all (text, word) pairs are joined by a broadcast; as many at most.
+HOT_WORDS = 10_000
 #: Words in a window whose mean comparison is a feature beside the text's.
 WINDOW = 8
 #: Labelled rows, in the order of a hash, that calibrate the score at most.
@@ -46,7 +52,9 @@ _COUNTS = "letter bigint, context bigint, triple bigint, pair bigint, code bigin
 
 @dataclass
 class Model:
-    letters: np.ndarray
+    """``letters`` holds ``letter, ratio`` (in units) of every key: sorted arrays, or a table beyond the bound."""
+
+    letters: tuple[np.ndarray, np.ndarray] | DataFrame
     weights: np.ndarray
     center: np.ndarray
     scale: np.ndarray
@@ -125,26 +133,44 @@ def comparison(counts: DataFrame) -> DataFrame:
     return known.select("letter", F.col("n").alias("weight"), ratio.alias("ratio"))
 
 
-def _table(rows: DataFrame) -> np.ndarray:
-    """Ratios by place; where letters meet in one, that with most evidence stands, an empty place is zero."""
-    place = F.shiftrightunsigned("letter", 64 - LETTER_BITS).cast("int")
-    best = rows.groupBy(place.alias("place")).agg(F.max_by("ratio", F.struct("weight", "letter")).cast("float").alias("ratio")).toArrow()
-    out = np.zeros(1 << LETTER_BITS, np.float16)
-    out[best["place"].to_numpy()] = best["ratio"].to_numpy()
-    return out
+def _letters(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray] | DataFrame:
+    """All keys with their ratios, as sorted arrays if there are ``most`` at most, else as a table."""
+    path = run_dir(rows.sparkSession, "letters")
+    rows.select("letter", F.round(F.col("ratio") * UNITS).cast("int").alias("ratio")).write.parquet(path)
+    kept = rows.sparkSession.read.schema("letter bigint, ratio int").parquet(path)
+    if kept.count() > most:
+        return kept
+    found = kept.toArrow()
+    keys = found["letter"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found["ratio"].to_numpy()[order]
+
+
+def _summary(ratios: np.ndarray) -> tuple[float, float, float]:
+    """The features of a text from the ratios of its words in order."""
+    if not len(ratios):
+        return 0.0, 0.0, 0.0
+    sums = np.cumsum(np.concatenate([[0.0], ratios]))
+    size = min(WINDOW, len(ratios))
+    second = np.partition(ratios, -2)[-2] if len(ratios) > 1 else 0.0
+    return sums[-1] / len(ratios), (sums[size:] - sums[:-size]).max() / size, second
 
 
 class Comparer:
     """Compares words by the model, remembering those it has seen."""
 
-    def __init__(self, letters: np.ndarray):
-        self.letters, self.known = letters, {}
+    def __init__(self, letters: tuple[np.ndarray, np.ndarray]):
+        (self.letters, self.ratios), self.known = letters, {}
 
     def learn(self, new: list[str]) -> None:
         parts = Words(new)
-        places = (parts.keys(0, CONTEXT) >> np.uint64(64 - LETTER_BITS)).astype(np.int64)
-        ratios = self.letters[places].astype(float)
-        sums = per_text(ratios, parts.word_text[parts.word], len(new))
+        keys = parts.keys(0, CONTEXT)
+        ratios = np.zeros(len(keys))
+        if len(self.letters):
+            own, inverse = np.unique(keys, return_inverse=True)
+            places = np.minimum(np.searchsorted(self.letters, own), len(self.letters) - 1)
+            ratios = np.where(self.letters[places] == own, self.ratios[places], 0).astype(float)[inverse]
+        sums = per_text(ratios, parts.word_text[parts.word], len(new)) / UNITS
         self.known.update(zip(new, sums.tolist(), strict=True))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -161,16 +187,67 @@ class Comparer:
             self.learn(new[k : k + 50_000])
         out = np.zeros((len(texts), 3))
         for i, words in enumerate(split):
-            if words:
-                ratios = np.array([self.known[w] for w in words])
-                sums = np.cumsum(np.concatenate([[0.0], ratios]))
-                size = min(WINDOW, len(ratios))
-                second = np.partition(ratios, -2)[-2] if len(ratios) > 1 else 0.0
-                out[i] = sums[-1] / len(ratios), (sums[size:] - sums[:-size]).max() / size, second
+            out[i] = _summary(np.array([self.known[w] for w in words]))
         return out
 
 
-def _features(df: DataFrame, letters, text: str = "text") -> DataFrame:
+def _joined_features(df: DataFrame, letters: DataFrame, text: str) -> DataFrame:
+    """The features by joins: letters of distinct words with the table, and words with the texts they are in.
+
+    No word that is joined by a shuffle is in more than one of ``HOT_WORDS`` parts of the pairs.
+    """
+    ship(df.sparkSession)
+    rows = pinned(df.withColumn("__row", F.monotonically_increasing_id()))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for value, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                places: dict[str, list[int]] = {}
+                for i, word in enumerate((value or "").lower().split()):
+                    places.setdefault(word, []).append(i)
+                columns = [pa.array([row] * len(places), pa.int64()), pa.array(list(places), pa.string()), pa.array(list(places.values()), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["__row", "word", "places"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = batch.column(0).to_pylist()
+            parts = Words(words)
+            owner = parts.word_text[parts.word]
+            columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(parts.keys(0, CONTEXT).view(np.int64), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "letter"])
+
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((batch.num_rows, 3))
+            for i, words in enumerate(batch.column(1)):
+                places, units = words.values.field("places"), words.values.field("units").to_numpy()
+                at, sizes = places.flatten().to_numpy(), places.value_lengths().to_numpy()
+                ratios = np.zeros(len(at))
+                ratios[at] = np.repeat(units / UNITS, sizes)
+                found[i] = _summary(ratios)
+            columns = [batch.column(0), *(pa.array(found[:, k], pa.float64()) for k in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, names=["__row", "__f0", "__f1", "__f2"])
+
+    pairs = rows.select(F.col(f"`{text}`"), "__row").mapInArrow(split, "__row bigint, word string, places array<int>")
+    words = pinned(pairs.groupBy("word").agg(F.count("*").alias("n")))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    spelled = words.select("word").mapInArrow(spell, "word string, letter bigint")
+    sums = spelled.join(letters, "letter").groupBy("word").agg(F.sum("ratio").alias("units"))
+    known = pinned(words.join(sums, "word", "left").select("word", (F.col("n") * HOT_WORDS > total).alias("hot"), F.coalesce("units", F.lit(0)).alias("units")))
+    hot = F.broadcast(known.where("hot").select("word", "units"))  # HOT_WORDS at most
+    rare = pairs.join(hot, "word", "left_anti").join(known.where("not hot"), "word")
+    both = pairs.join(hot, "word").select("__row", "places", "units").union(rare.select("__row", "places", "units"))
+    lists = both.groupBy("__row").agg(F.collect_list(F.struct("places", "units")).alias("words"))
+    found = lists.mapInArrow(summarize, "__row bigint, __f0 double, __f1 double, __f2 double")
+    none = {f"__f{k}": F.coalesce(f"__f{k}", F.lit(0.0)) for k in range(3)}
+    return rows.join(found, "__row", "left").withColumns(none).drop("__row")
+
+
+def _features(df: DataFrame, letters: tuple[np.ndarray, np.ndarray] | DataFrame, text: str = "text") -> DataFrame:
+    if isinstance(letters, DataFrame):
+        return _joined_features(df, letters, text)
+    letters = df.sparkSession.sparkContext.broadcast(letters)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         comparer = Comparer(letters.value)
         for batch in batches:
@@ -202,20 +279,20 @@ def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> tu
     return w, center, scale
 
 
-def fit(labelled: DataFrame, calibration: DataFrame) -> Model:
+def fit(labelled: DataFrame, calibration: DataFrame, broadcast_letters: int = BROADCAST_LETTERS) -> Model:
     """The model from ``text, toxic`` rows, its score calibrated on other such rows.
 
     Rows with a NULL label are left out. Without rows of a class the score is a constant.
     """
-    spark = labelled.sparkSession
-    letters = _table(comparison(letter_counts(labelled.where("toxic is not null"))))
+    letters = _letters(comparison(letter_counts(labelled.where("toxic is not null"))), broadcast_letters)
     sample = (
         calibration.where("toxic is not null")
         .select("text", F.col("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("text"), "toxic")
         .limit(CALIBRATION_ROWS)
     )
-    found = _features(sample, spark.sparkContext.broadcast(letters)).select("toxic", "__f0", "__f1", "__f2").toArrow()
+    found = _features(sample, letters).select("toxic", "__f0", "__f1", "__f2").toArrow()
+    found = found.sort_by([(c, "ascending") for c in found.column_names])  # sums do not depend on the order of rows
     features = np.column_stack([found[f"__f{k}"].to_numpy() for k in range(3)])
     return Model(letters, *logistic(features, found["toxic"].to_numpy().astype(float)))
 
@@ -225,21 +302,21 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
 
     Repeated rows score alike; all columns are kept and one named as ``out`` is replaced.
     """
-    with_features = _features(df, df.sparkSession.sparkContext.broadcast(model.letters), text)
+    with_features = _features(df, model.letters, text)
     logit = F.lit(float(model.weights[0]))
     for k in range(3):
         logit = logit + F.lit(float(model.weights[k + 1])) * (F.col(f"__f{k}") - float(model.center[k])) / float(model.scale[k])
     return with_features.withColumn(out, 1 / (1 + F.exp(-logit))).drop("__f0", "__f1", "__f2")
 
 
-def train(documents: DataFrame, labels: DataFrame) -> Model:
+def train(documents: DataFrame, labels: DataFrame, broadcast_letters: int = BROADCAST_LETTERS) -> Model:
     """Fit on the labelled documents: folds 2 to 4 of five count, fold 1 calibrates, fold 0 is held out."""
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").distinct()
     if known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
     rows = documents.select("doc_id", "text").join(known, "doc_id")
     part = fold("doc_id", 5)
-    return fit(rows.where(part >= 2).select("text", "toxic"), rows.where(part == 1).select("text", "toxic"))
+    return fit(rows.where(part >= 2).select("text", "toxic"), rows.where(part == 1).select("text", "toxic"), broadcast_letters)
 
 
 def op5_toxicity(spark: SparkSession, directory: str) -> DataFrame:

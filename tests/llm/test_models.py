@@ -1,8 +1,10 @@
 import zlib
 
+import numpy as np
 import pytest
 
 from shelflot.llm import language, toxicity
+from shelflot.llm.chars import Words
 from shelflot.llm.common import table
 
 DIRECTORY = "/root/testdata/sf0.01"
@@ -46,6 +48,31 @@ def test_counts_and_ratios(spark):
         assert abs(r.ratio + ratios[r.letter]) < 1e-12
 
 
+def test_every_key_counts_and_strangers_are_no_evidence(spark):
+    letters = (1 << 44) + np.arange(20, dtype=np.uint64)  # one place of the first 24 bits
+    rows = spark.createDataFrame([(int(k), 1, float(i - 9)) for i, k in enumerate(letters)], "letter long, weight long, ratio double")
+    keys, ratios = toxicity._letters(rows, 20)
+    assert keys.tolist() == letters.tolist() and (ratios / toxicity.UNITS).tolist() == [i - 9.0 for i in range(20)]
+    assert toxicity._letters(rows, 19).count() == 20
+    own = Words(["scum"]).keys(0, toxicity.CONTEXT)
+    near = np.sort(own ^ np.uint64(1))  # the same places, other keys
+    assert toxicity.Comparer((near, np.full(len(near), 9 * toxicity.UNITS))).features(["scum"]).tolist() == [[0, 0, 0]]
+    assert toxicity.Comparer((np.sort(own), np.full(len(own), toxicity.UNITS))).features(["scum"])[0, 0] == len(own)
+
+
+def test_joined_letters_score_as_those_sent(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "HOT_WORDS", 8)
+    rows = [(i, f"the cat number{i % 7} sat on mat{i % 11} and slept") for i in range(60)]
+    rows += [(100 + i, f"the cat you moron{i % 3} sat scum") for i in range(60)]
+    docs = documents(rows + [(500, None), (501, ""), (502, "a-b c.c, the the"), (None, "null id"), (502, "a-b c.c, the the")])
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    got = []
+    for bound in (1_000_000, 0):
+        model = toxicity.train(docs, labels, bound)
+        got.append(sorted(toxicity.score(docs, model).select("doc_id", "text", "score", "source").collect(), key=str))
+    assert len(got[0]) == 125 and got[0] == got[1]
+
+
 @pytest.mark.parametrize("folds", [True, False])
 def test_language_accuracy_on_held_out(spark, folds):
     docs = table(spark, DIRECTORY, "documents", "doc_id", "text", "lang")
