@@ -2,7 +2,8 @@
 
 A page is read into a tree of elements, forgiving the usual faults: paragraphs and list items that
 nothing closes, end tags without a start, quotes that stay open, text cut off in a tag. Elements that
-are never the article by their kind, role or name are left out. Paragraphs pass points, for their
+are never the article by their kind, role or name are left out, but none by role or name that holds an
+article element or the bulk of the points; a name that only has such a word in it counts against its element. Paragraphs pass points, for their
 length and commas, to their ancestors, less with each level, and each ancestor's sum is discounted by its
 share of text in links. The best container is kept, with those of its siblings that score alike.
 """
@@ -29,7 +30,9 @@ INLINE = {
 #: Elements that are never the article.
 LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "audio", "video", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "toolbar", "form", "alertdialog"}
-#: Words of a class or id that say that an element is none of the article.
+#: Kinds that are left out unless they hold the article, as where a form is wrapped around a whole page.
+WRAPPERS = {"form", "fieldset"}
+#: Words of a class or id that say that an element is none of the article if the name has no other words.
 NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "banner", "breadcrumb", "breadcrumbs",
     "combx", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "masthead",
@@ -37,6 +40,12 @@ NAMES = {
     "promoted", "recommended", "related", "remark", "replies", "respond", "rss", "share", "sharing", "shoutbox", "sidebar", "signup", "skyscraper",
     "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
+#: What :func:`left_out` says of an element: for good; unless it holds the article; only where it is full of links.
+FOR_GOOD, UNLESS_HOLDING, DOUBTFUL = 1, 2, 3
+#: Share of the points of its article, or else of the page, from which an element is not left out.
+BULK = 0.75
+#: Share of links from which a doubtful element is left out, and what its name leaves of its worth.
+LINKED, DOUBT = 0.25, 0.25
 ARTICLE = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An element of the first kind ends an open one of the second kinds, unless a third lies between.
@@ -55,35 +64,71 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "inside", "skip", "points", "text", "linked")
+    __slots__ = ("tag", "parent", "inside", "skip", "doubt", "points", "text", "linked")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool = False):
-        self.tag, self.parent, self.skip = tag, parent, skip
+        self.tag, self.parent, self.skip, self.doubt = tag, parent, skip, False
         self.inside: list[Node | str] = []
         self.points, self.text, self.linked = 0.0, 0, 0
 
 
-def left_out(tag: str, attributes: str) -> bool:
-    """Whether an element is none of the article by its kind, role, names or because it is hidden."""
-    if tag in LEFT_OUT:
-        return True
+def left_out(tag: str, attributes: str) -> int:
+    """Whether an element is none of the article by its kind, role, names or because it is hidden; 0 if not."""
+    if tag in LEFT_OUT and tag not in WRAPPERS:
+        return FOR_GOOD
+    said = UNLESS_HOLDING if tag in WRAPPERS else 0
     if not attributes or tag in ARTICLE or tag in ("html", "body"):
-        return False
+        return said
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return FOR_GOOD
         if key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and any(w.lower() in NAMES for w in _WORD.findall(value)):
-            return True
-    return False
+            said = UNLESS_HOLDING
+        if key in ("class", "id") and said != UNLESS_HOLDING:
+            for name in value.split():
+                words = [w.lower() in NAMES for w in _WORD.findall(name) if not w.isdigit()]
+                if words and all(words):
+                    said = UNLESS_HOLDING
+                    break
+                if any(words):
+                    said = DOUBTFUL
+    return said
+
+
+def _judged(root: Node, judged: list[tuple[Node, int]]) -> None:
+    """Mark which of the elements that may be left out are, in page order; nothing is where the article is."""
+    points, sizes, links, holding = {}, {}, {}, set()
+    wanted = {id(n) for n, _ in judged}
+    for element, text, linked in blocks(root):
+        value = 0.0 if element.tag in HEADINGS else _points(text, linked)
+        node, article = element, False
+        while node:
+            key = id(node)
+            if key in wanted or node.tag in ARTICLE or node is root:
+                points[key] = points.get(key, 0.0) + value
+                sizes[key] = sizes.get(key, 0) + len(text)
+                links[key] = links.get(key, 0) + linked
+                if article:
+                    holding.add(key)
+                article = article or node.tag in ARTICLE
+            node = node.parent
+    for node, said in judged:
+        key, around = id(node), node.parent
+        while around is not root and around.tag not in ARTICLE:
+            around = around.parent
+        bulk = points.get(key, 0.0) > BULK * points.get(id(around), 0.0)
+        node.doubt = True
+        if bulk or key in holding and around is root:
+            continue
+        node.skip = said == UNLESS_HOLDING or links.get(key, 0) >= LINKED * max(sizes.get(key, 0), 1)
 
 
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("#root", None)
     here, at, end = root, 0, len(page)
+    judged: list[tuple[Node, int]] = []
     while at < end:
         begin = page.find("<", at)
         if begin < 0:
@@ -120,12 +165,17 @@ def parse(page: str) -> Node:
             here.inside.append(" ")
         else:
             here = _opened(here, tag)
-            child = Node(tag, here, here.skip or left_out(tag, attributes))
-            if tag == "header" and not here.skip and _inside(here, ARTICLE):
+            said = left_out(tag, attributes)
+            child = Node(tag, here, said == FOR_GOOD)
+            if tag == "header" and said and _inside(here, ARTICLE):
                 child.skip = False  # its headings belong to the article
+            elif said > FOR_GOOD:
+                judged.append((child, said))
             here.inside.append(child)
             if not attributes.endswith("/"):
                 here = child
+    if judged:
+        _judged(root, judged)
     return root
 
 
@@ -205,6 +255,10 @@ def blocks(node: Node) -> Iterator[tuple[Node, str, int]]:
             stack.append((child, iter(child.inside), in_link or child.tag == "a", element if child.tag in INLINE else child))
 
 
+def _points(text: str, linked: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(linked / len(text), 1))
+
+
 def extract(page: str | None) -> str:
     """The main text of a page, one line for each block; empty for NULL and for pages without text."""
     if not page:
@@ -220,7 +274,7 @@ def extract(page: str | None) -> str:
             node = node.parent
         if element.tag in HEADINGS:
             continue
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(linked / len(text), 1))
+        points = _points(text, linked)
         share, node, level = 1.0, element.parent or element, 0
         while node and level < 5:
             if node.tag != "#root" or node is element:
@@ -233,7 +287,7 @@ def extract(page: str | None) -> str:
         return "\n".join(text for _, text, _ in found)
 
     def worth(node: Node) -> float:
-        return node.points * (1 - node.linked / max(node.text, 1))
+        return node.points * (1 - node.linked / max(node.text, 1)) * (DOUBT if node.doubt else 1)
 
     best = max(candidates.values(), key=worth)  # of equals the first on the page
     node = best

@@ -26,6 +26,19 @@ def test_faults_and_long_pages():
     extract('<a "' * 100_000 + ">")  # ends
 
 
+def test_names_do_not_lose_the_article():
+    text = "<p>Alpha, beta, gamma delta.</p><p>More, of the same kind.</p>"
+    lines = "Alpha, beta, gamma delta.\nMore, of the same kind."
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "post-header-visible", "entry-share-enabled", "widget"):
+        assert extract(f'<div class="{name}"><main>{text}</main></div>') == lines
+        assert extract(f'<body class=x><div id="page {name}"><article>{text}</article></div></body>') == lines
+        assert extract(f'<div class="{name}">{text}</div>') == lines
+        assert extract(f'<main><div class="post {name}">{text}</div></main>') == lines
+    assert extract(f'<form action="/"><main>{text}</main></form>') == lines
+    assert extract(f'<article>{text}<div class="sidebar">x, y</div><div class="share-links"><a href=1>Tell</a></div></article>') == lines
+    assert extract(f'<article>{text}<p hidden>no</p></article><div class="related"><article><p>Other, one</p></article></div>') == lines
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (2, None, None, "old"), (None, "u", "", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
