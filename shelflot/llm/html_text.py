@@ -129,6 +129,7 @@ def parse(page: str) -> Node:
     root = Node("#root", None)
     here, at, end = root, 0, len(page)
     judged: list[tuple[Node, int]] = []
+    endless: set[str] = set()
     while at < end:
         begin = page.find("<", at)
         if begin < 0:
@@ -158,9 +159,16 @@ def parse(page: str) -> Node:
         if closing:
             here = _closed(here, tag)
         elif tag in RAW:
+            if tag in ("svg", "math") and attributes.endswith("/") or tag in endless:
+                continue
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(page, at)
-            stop = page.find(">", close.end()) if close else -1
-            at = end if stop < 0 else stop + 1
+            if close:
+                stop = page.find(">", close.end())
+                at = end if stop < 0 else stop + 1
+            elif tag in ("script", "style"):
+                at = end
+            else:  # no end follows: only the start tag is passed over
+                endless.add(tag)
         elif tag in VOID:
             here.inside.append(" ")
         else:

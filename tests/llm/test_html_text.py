@@ -39,6 +39,14 @@ def test_names_do_not_lose_the_article():
     assert extract(f'<article>{text}<p hidden>no</p></article><div class="related"><article><p>Other, one</p></article></div>') == lines
 
 
+def test_raw_elements_that_close_themselves_or_never():
+    for icon in ('<svg class="icon"/>', "<math />", '<object data="x"/>', "<iframe src=x />", "<canvas>", "<noscript>"):
+        assert extract(f"{icon}<article><h1>A</h1><p>One, two.</p></article>") == "A\nOne, two."
+    assert extract('<svg class="a"/><article><p>One, two.</p><svg><text>no</text></svg></article>') == "One, two."
+    assert extract("<article><p>One, two.</p></article><script>a, b, c <p>d, e, f, g") == "One, two."
+    assert extract("<p>One, two." + "<svg>" * 100_000) == "One, two."
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (2, None, None, "old"), (None, "u", "", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
