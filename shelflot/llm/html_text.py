@@ -5,7 +5,8 @@ nothing closes, end tags without a start, quotes that stay open, text cut off in
 are never the article by their kind, role or name are left out, but none by role or name that holds an
 article element or the bulk of the points; a name that only has such a word in it counts against its element. Paragraphs pass points, for their
 length and commas, to their ancestors, less with each level, and each ancestor's sum is discounted by its
-share of text in links. The best container is kept, with those of its siblings that score alike.
+share of text in links. The best container is kept, with those of its siblings that score alike; outside
+article elements also with all beside it that is not mostly links: headings, short paragraphs, lists, loose text.
 """
 
 from __future__ import annotations
@@ -298,23 +299,30 @@ def extract(page: str | None) -> str:
         return node.points * (1 - node.linked / max(node.text, 1)) * (DOUBT if node.doubt else 1)
 
     best = max(candidates.values(), key=worth)  # of equals the first on the page
-    node = best
+    node, article = best, False
     while node:
         if node.tag in ARTICLE:
-            best = node
+            best, article = node, True
             break
         node = node.parent
-    kept = {id(best)}
+    while not article and best.parent and best.parent.text == best.text and best.parent.tag not in ("body", "html", "#root"):
+        best = best.parent  # all text of a wrapper: what is beside it counts
+    kept, loose = {id(best)}, None
     if best.parent and best.tag != "body":
         least = max(3.0, 0.2 * worth(best))
+        loose = None if article else best.parent
         for other in best.parent.inside:
             if isinstance(other, Node) and not other.skip and other is not best:
                 dense = other.linked / max(other.text, 1)
                 long = other.tag == "p" and dense < 0.25 and other.text >= 80
-                if worth(other) >= least and dense < 0.5 or long:
+                beside = not article and not other.doubt and dense < LINKED
+                if worth(other) >= least and dense < 0.5 or long or beside:
                     kept.add(id(other))
     lines = []
-    for element, text, _ in found:
+    for element, text, linked in found:
+        if element is loose and linked < LINKED * len(text):
+            lines.append(text)
+            continue
         node = element
         while node:
             if id(node) in kept:

@@ -47,6 +47,18 @@ def test_raw_elements_that_close_themselves_or_never():
     assert extract("<p>One, two." + "<svg>" * 100_000) == "One, two."
 
 
+def test_what_is_beside_the_best_container_stays():
+    long = "<p>" + "A long, plain sentence, with commas. " * 9 + "</p>"
+    whole = ("A long, plain sentence, with commas. " * 9).strip()
+    short = "<p>Short end.</p>"
+    assert extract(f"<div><h1>Title</h1><div>{long}</div>{short}</div>") == f"Title\n{whole}\nShort end."
+    assert extract(f"<body><h1>Title</h1><div><div>{long}</div></div>{short}</body>") == f"Title\n{whole}\nShort end."
+    rest = "<ul><li>one<li>two</ul><table><tr><td>3</table><blockquote>four</blockquote><section><h2>five</h2><p>six</section>seven"
+    assert extract(f"<div><div>{long}</div>{rest}</div>") == "\n".join([whole, "one", "two", "3", "four", "five", "six", "seven"])
+    out = '<ul><li><a href=1>one</a><li><a href=2>two</a></ul><div class="sidebar">x</div><nav>y</nav><div class="left-sidebar">z</div><a href=3>more</a>'
+    assert extract(f"<div><div>{long}</div>{out}</div>") == whole
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (2, None, None, "old"), (None, "u", "", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
