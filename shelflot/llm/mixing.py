@@ -92,7 +92,7 @@ def mix(
     rows = pinned(rows.withColumn("order", order))
     placed = pinned(_with_upto(rows))
     placed = placed.withColumn("block", F.floor((F.col("upto") - F.col("size")) / block_chars).cast("long"))
-    sizes = placed.groupBy("source").agg(F.sum("size").alias("size"), (F.max("block") + 1).alias("blocks"))
+    sizes = placed.groupBy("source").agg(F.sum("size").alias("size"), F.ceil(F.max("upto") / block_chars).cast("long").alias("blocks"))
     found = {r["source"]: r for r in sizes.limit(MAX_SOURCES + 1).collect()}
     if weights is None:
         weights = {s: r["size"] ** temper for s, r in found.items()}

@@ -38,6 +38,19 @@ def test_mix(spark, documents):
         mixing.mix(docs, {"big": 1.0})
 
 
+def test_characters_follow_the_weights_past_long_last_documents(spark, documents):
+    rows = [(1, "x" * 5_000, None, "long")] + [(100 + i, "y" * 100, None, "short") for i in range(400)] + [(9, "z" * 3_000, None, "other")]
+    weights = {"long": 2, "short": 5, "other": 1}
+    slots, period = mixing.shares(weights)
+    got = mixing.mix(documents(rows), weights, block_chars=500).collect()
+    length = {i: len(text) for i, text, _, _ in rows}
+    longest = {"long": 5_000, "short": 100, "other": 3_000}
+    for end in range(20, max(r.slot for r in got) + 2):
+        for s in weights:
+            served = sum(length[r.doc_id] for r in got if r.source == s and r.slot < end)
+            assert abs(served - end * 500 * slots[s] / period) <= longest[s] + 500
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     random.seed(9)
     words = [f"w{i}" for i in range(300)]
