@@ -5,7 +5,8 @@ the cell of its nearest centroids. As a query it visits cells in the order of th
 multi-sequence order), as many as a sample needed to reach the target recall, and is compared
 there exactly.
 
-Codebooks and the number of visits are fitted on bounded samples; every vector is indexed and is a query.
+Codebooks and the number of visits are fitted on bounded samples, for each length of vectors by itself; every
+vector is indexed and is a query. Vectors of one component are compared by their sign.
 Equal vectors are one entry with a weight. A cell's members and its queries are cut into blocks, and a task
 compares two blocks: no group is larger, however hot its cell. A task sends for each vector the
 number of its links and one link of a spanning forest, never the pairs.
@@ -20,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelflot.llm.common import components, ship, table
 from shelflot.session import pinned, run_dir
@@ -36,9 +38,12 @@ BLOCK = 2_048
 ROUNDS = 10
 
 
-def units(column) -> np.ndarray:
-    """Rows of float32 bytes as vectors of length one in double precision."""
-    rows = np.stack([np.frombuffer(x, np.float32) for x in column]).astype(float)
+def units(column, dim: int) -> np.ndarray:
+    """Rows of ``dim`` floats or doubles as bytes as vectors of length one in double precision."""
+    rows = np.stack([np.frombuffer(x, "<f4" if len(x) == 4 * dim else "<f8") for x in column]).astype(float)
+    top = np.abs(rows).max(1, keepdims=True)
+    far = ((top < 1e-100) | (top > 1e100))[:, 0]  # their squares would leave the range
+    rows[far] /= top[far]
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -86,54 +91,68 @@ class Grid:
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:
-    """``label, node, weight, vector`` (float32 bytes) of each distinct vector that can link."""
-    return rows.where("usable").groupBy("label", "node").agg(F.count("*").alias("weight"), F.first("vector").alias("vector"))
+    """``label, dim, node, weight, vector`` (its bytes) of each distinct vector that can link."""
+    return rows.where("usable").groupBy("label", "dim", "node").agg(F.count("*").alias("weight"), F.first("vector").alias("vector"))
 
 
 def usable_rows(df: DataFrame) -> DataFrame:
-    """``vec_id, label, node, usable, vector`` of every row.
+    """``vec_id, label, dim, node, usable, vector`` of every row.
 
-    Usable are vectors of the most frequent length with a label, of finite components that are not all zero.
+    Usable are vectors with a label, of finite components that are not all zero. Floats stay floats, other
+    numbers are doubles; of a single component only the sign is kept.
     """
-    v = F.col("embedding").cast("array<float>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    some = F.exists(v, lambda x: x != 0)
-    fine = F.coalesce(F.col("label").isNotNull() & finite & some & (F.size(v) > 1), F.lit(False))
-    rows = df.select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v"), fine.alias("fine"))
-    sizes = rows.where("fine").groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size = sizes["size"] if sizes else 0
-    node = F.md5(F.concat_ws(",", F.col("label"), F.col("v").cast("array<string>")))
+    single = isinstance(df.schema["embedding"].dataType.elementType, T.FloatType)
+    given = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    v = F.when(F.size(given) == 1, F.transform(given, lambda x: F.signum(x).cast("float" if single else "double"))).otherwise(given)
+    finite = F.forall(given, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    some = F.exists(given, lambda x: x != 0)
+    usable = F.coalesce(F.col("label").isNotNull() & finite & some, F.lit(False))
+    rows = df.select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v"), usable.alias("usable"))
+    node = F.md5(F.concat_ws(",", F.size("v").cast("string"), F.col("label"), F.col("v").cast("array<string>")))
+    dtype = "<f4" if single else "<f8"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(4)
-            out = [x.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes() if x.is_valid else None for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], names=["vec_id", "label", "node", "usable", "vector"])
+            lists = batch.column(5)
+            out = [x.values.to_numpy(zero_copy_only=False).astype(dtype).tobytes() if x.is_valid else None for x in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())], names=["vec_id", "label", "dim", "node", "usable", "vector"])
 
-    usable = F.col("fine") & (F.size("v") == size)
-    vector = F.when(usable, F.col("v"))
-    shaped = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", node.alias("node"), usable.alias("usable"), vector.alias("vector"))
-    return shaped.mapInArrow(pack, "vec_id bigint, label string, node string, usable boolean, vector binary")
+    vector = F.when(F.col("usable"), F.col("v"))
+    shaped = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.size("v").alias("dim"), node.alias("node"), "usable", vector.alias("vector"))
+    return shaped.mapInArrow(pack, "vec_id bigint, label string, dim int, node string, usable boolean, vector binary")
 
 
-def fit(vectors: DataFrame) -> Grid:
-    """The grid of a bounded sample; its cells grow with the number of distinct vectors."""
-    n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("node"), "node").limit(TRAIN_ROWS).select("vector").toArrow()["vector"].to_pylist()
-    rows = units(sample)
+def fit(vectors: DataFrame, n: int, dim: int) -> Grid:
+    """The grid of a bounded sample of ``n`` distinct vectors of one length; its cells grow with their number."""
+    half = dim // 2
     size = int(np.clip(round((n / PER_CELL) ** 0.5), 1, MAX_CENTROIDS))
-    half = rows.shape[1] // 2
+    if dim == 1:
+        return Grid(np.zeros((1, 0)), np.array([[-1.0], [1.0]]))
+    if size == 1:
+        return Grid(np.zeros((1, half)), np.zeros((1, dim - half)))
+    sample = vectors.orderBy(F.xxhash64("node"), "node").limit(TRAIN_ROWS).select("vector").toArrow()["vector"].to_pylist()
+    rows = units(sample, dim)
     return Grid(codebook(rows[:, :half], size), codebook(rows[:, half:], size, 13))
 
 
-def visits_for(vectors: DataFrame, grid: Grid, target: float = TARGET_RECALL, cosine: float = COSINE) -> int:
+def grids(vectors: DataFrame, target: float, cosine: float) -> dict[int, tuple[Grid, int]]:
+    """The grid and the number of visits for each length; lengths of few vectors have one cell and need no sample."""
+    out = {}
+    for dim, n in vectors.groupBy("dim").count().collect():
+        own = vectors.where(F.col("dim") == dim)
+        grid = fit(own, n, dim)
+        out[dim] = grid, visits_for(own, grid, target, cosine, dim) if grid.cells > 1 and dim > 1 else 1
+    return out
+
+
+def visits_for(vectors: DataFrame, grid: Grid, target: float, cosine: float, dim: int) -> int:
     """How many cells a query must visit until the sample's links are found at the target rate.
 
-    A bounded sample of queries is compared with every vector; each query's links count as one.
+    The vectors are of one length. A bounded sample of queries is compared with every vector; each query's links count as one.
     """
     probes = vectors.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(PROBE_ROWS).select("label", "node", "vector").toArrow()
     labels, nodes = np.array(probes["label"].to_pylist()), np.array(probes["node"].to_pylist())
-    queries = units(probes["vector"].to_pylist())
+    queries = units(probes["vector"].to_pylist(), dim)
     shared = vectors.sparkSession.sparkContext.broadcast((labels, nodes, queries, grid))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +163,7 @@ def visits_for(vectors: DataFrame, grid: Grid, target: float = TARGET_RECALL, co
         for batch in batches:
             for part in (batch.slice(k, BLOCK) for k in range(0, batch.num_rows, BLOCK)):
                 own, names = np.array(part.column(0).to_pylist()), np.array(part.column(1).to_pylist())
-                rows = units(part.column(2).to_pylist())
+                rows = units(part.column(2).to_pylist(), dim)
                 linked = (queries @ rows.T >= cosine) & (labels[:, None] == own[None]) & (nodes[:, None] != names[None])
                 q, y = np.nonzero(linked)
                 rank = ranks[q, grid.order(rows, 1)[y, 0]] if len(q) else np.zeros(0, np.int32)
@@ -160,21 +179,29 @@ def visits_for(vectors: DataFrame, grid: Grid, target: float = TARGET_RECALL, co
     return int(min(max(np.searchsorted(curve, target - 1e-12) + 1, MIN_VISITS), grid.cells))
 
 
-def placed(vectors: DataFrame, grid: Grid, visits: int) -> DataFrame:
-    """Vectors with the cells they visit, their own first."""
-    shared = vectors.sparkSession.sparkContext.broadcast(grid)
+def placed(vectors: DataFrame, found: dict[int, tuple[Grid, int]]) -> DataFrame:
+    """Vectors with the cells they visit in the grid of their length, their own first."""
+    shared = vectors.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cells = [shared.value.order(units(part.column(3).to_pylist()), visits) for part in (batch.slice(k, BLOCK) for k in range(0, batch.num_rows, BLOCK))]
-                flat = np.concatenate(cells)
-                offsets = np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["label", "node", "weight", "vector", "cells"])
-
-    return vectors.select("label", "node", "weight", "vector").mapInArrow(
-        run, "label string, node string, weight bigint, vector binary, cells array<int>"
+            for part in (batch.slice(k, BLOCK) for k in range(0, batch.num_rows, BLOCK)):
+                dims, data = part.column(1).to_numpy(), part.column(4)
+                counts, own = np.zeros(len(dims), np.int64), {}
+                for dim in np.unique(dims).tolist():
+                    at = np.flatnonzero(dims == dim)
+                    grid, visits = shared.value[dim]
+                    own[dim] = at, grid.order(units(data.take(pa.array(at)).to_pylist(), dim), visits)
+                    counts[at] = own[dim][1].shape[1]
+                offsets = np.concatenate([[0], np.cumsum(counts)])
+                flat = np.empty(offsets[-1], np.int32)
+                for at, cells in own.values():
+                    flat[offsets[at][:, None] + np.arange(cells.shape[1])] = cells
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["label", "dim", "node", "weight", "vector", "cells"])
+
+    return vectors.select("label", "dim", "node", "weight", "vector").mapInArrow(
+        run, "label string, dim int, node string, weight bigint, vector binary, cells array<int>"
     )
 
 
@@ -183,15 +210,16 @@ def _compare(cosine: float):
         members, queries = pdf[~pdf["query"]], pdf[pdf["query"]]
         if members.empty or queries.empty:
             return pd.DataFrame({"node": [], "links": [], "root": []})
+        dim = int(pdf["dim"].iloc[0])
         names, place = np.unique(np.concatenate([members["node"], queries["node"]]).astype(str), return_inverse=True)
         at_m, at_q = place[: len(members)], place[len(members) :]
         wm, wq = members["weight"].to_numpy(), queries["weight"].to_numpy()
         cells = np.stack(members["cells"].to_list())
         home = np.array([c[0] for c in queries["cells"]])
-        ym, counts, root = units(members["vector"]), np.zeros(len(names), np.int64), np.arange(len(names))
+        ym, counts, root = units(members["vector"], dim), np.zeros(len(names), np.int64), np.arange(len(names))
         ends = []
         for k in range(0, len(queries), 512):
-            close = units(queries["vector"].iloc[k : k + 512]) @ ym.T >= cosine
+            close = units(queries["vector"].iloc[k : k + 512], dim) @ ym.T >= cosine
             q, m = np.nonzero(close & (at_q[k : k + 512, None] != at_m[None]))
             q = q + k
             np.add.at(counts, at_q[q], wm[m])
@@ -219,17 +247,17 @@ def links(cells: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``node, links, root``: parts of each vector's number of links, and a vector that it is linked with."""
     members = cells.withColumn("cell", F.get("cells", 0)).withColumn("query", F.lit(False))
     queries = cells.withColumn("cell", F.explode("cells")).withColumn("query", F.lit(True))
-    sizes = queries.groupBy("label", "cell").agg(
+    sizes = queries.groupBy("label", "dim", "cell").agg(
         F.count("*").alias("queries"), F.sum((F.col("cell") == F.get("cells", 0)).cast("long")).alias("members")
     )
     sizes = sizes.where("members > 0 and queries > 1").select(
-        "label", "cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("queries") / BLOCK).cast("int").alias("qb")
+        "label", "dim", "cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("queries") / BLOCK).cast("int").alias("qb")
     )
     own = F.xxhash64("node")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    m = members.join(sizes, ["label", "cell"]).withColumn("m", F.pmod(own, "mb").cast("int")).withColumn("q", F.explode(every("qb")))
-    q = queries.join(sizes, ["label", "cell"]).withColumn("q", F.pmod(own, "qb").cast("int")).withColumn("m", F.explode(every("mb")))
-    keys = ["label", "cell", "m", "q"]
+    m = members.join(sizes, ["label", "dim", "cell"]).withColumn("m", F.pmod(own, "mb").cast("int")).withColumn("q", F.explode(every("qb")))
+    q = queries.join(sizes, ["label", "dim", "cell"]).withColumn("q", F.pmod(own, "qb").cast("int")).withColumn("m", F.explode(every("mb")))
+    keys = ["label", "dim", "cell", "m", "q"]
     columns = [*keys, "query", "node", "weight", "vector", "cells"]
     both = m.select(*columns).union(q.select(*columns))
     return both.groupBy(*keys).applyInPandas(_compare(cosine), "node string, links bigint, root string")
@@ -238,8 +266,8 @@ def links(cells: DataFrame, cosine: float = COSINE) -> DataFrame:
 def near_duplicates(df: DataFrame, cosine: float = COSINE, target: float = TARGET_RECALL) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vec_id, embedding, label``; others are not read.
 
-    Vectors are linked when their labels are equal and their cosine in double precision is at least
-    ``cosine``. Rows with a NULL label, or a vector that is NULL, zero, of another length than most or has
+    Vectors are linked when their labels and lengths are equal and their cosine in double precision is at least
+    ``cosine``. Rows with a NULL label, or a vector that is NULL, zero or has
     components that are NULL or not finite, link with nothing. Repeated vectors link with each other.
     A NULL vec_id counts as no least one and is not kept. An empty table gives no rows.
     """
@@ -252,8 +280,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, target: float = TARGE
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
     if vectors.isEmpty():
         return alone.select("*", kept)
-    grid = fit(vectors)
-    cells = placed(vectors, grid, visits_for(vectors, grid, target, cosine))
+    cells = placed(vectors, grids(vectors, target, cosine))
     found = pinned(links(pinned(cells), cosine))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     places = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -99,3 +99,22 @@ def test_vectors_against_brute_force(spark):
     assert sorted(got, key=str) == sorted(expected, key=str)
     assert N.near_duplicates(df.limit(0)).count() == 0
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in N.near_duplicates(df.where("vec_id > 1900 or vec_id is null")).collect())
+
+
+def test_vectors_of_all_lengths_and_doubles(spark):
+    random.seed(6)
+    rows, base = [], {d: [[random.gauss(0, 1) for _ in range(d)] for _ in range(40)] for d in (8, 5, 2)}
+    for i in range(900):
+        d = (8, 8, 5, 2)[i % 4]
+        rows.append((i, [x + random.gauss(0, 0.02) for x in base[d][i % 40]], str(i % 2)))
+    rows += [(2000 + i, [x], "0") for i, x in enumerate((3.0, 0.5, -1.0, -7.0, 1e-9))]
+    edge = math.sqrt(1 / 0.98**2 - 1)
+    rows += [(3000, [1.0, 0.0, 0.0], "e"), (3001, [1.0, edge * (1 - 1e-10), 0.0], "e"), (3002, [1.0, 0.0, edge * (1 + 1e-10)], "e")]
+    rows += [(3100, [1e300, 1e299, 0.0], "far"), (3101, [1e-200, 1e-201, 0.0], "far"), (3200, [2.0, 3.0], "1"), (3201, [3.0], "1,2")]
+    unit = [np.array(v) / np.abs(v).max() / np.linalg.norm(np.array(v) / np.abs(v).max()) for _, v, _ in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98]
+    degree = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    place = closed([r[0] for r in rows], [(rows[a][0], rows[b][0]) for a, b in links])
+    got = N.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(r[0], n, place[r[0]]) for r, n in sorted(zip(rows, degree.tolist()))]
+    assert {r.vec_id: r.n_links for r in got if 2000 <= r.vec_id < 3200} == {2000: 2, 2001: 2, 2002: 1, 2003: 1, 2004: 2, 3000: 1, 3001: 1, 3002: 0, 3100: 1, 3101: 1}
