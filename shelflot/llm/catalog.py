@@ -14,8 +14,10 @@ from shelflot.llm.jaccard_join import op7_jaccard_join
 from shelflot.llm.language import op10_language
 from shelflot.llm.mixing import op3_source_mix
 from shelflot.llm.near_vectors import op2_near_vectors
+from shelflot.llm.periodic_runs import op11_periodic_runs
 from shelflot.llm.secret_scan import OP4_SQL, op4_secret_scan
 from shelflot.llm.toxicity import op5_toxicity
+from shelflot.llm.winnowing import OP13_SQL, op13_decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -30,7 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_host_rules,
         op9_byte_bpe,
         op10_language,
+        op11_periodic_runs,
+        op13_decontaminate,
     )
 }
 
-ORACLES: dict[str, str] = {"op4_secret_scan": OP4_SQL, "op8_host_rules": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_secret_scan": OP4_SQL, "op8_host_rules": OP8_SQL, "op13_decontaminate": OP13_SQL}

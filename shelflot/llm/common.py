@@ -67,29 +67,35 @@ def extend(
     inputs: list[str],
     outputs: list[T.StructField],
     compute: Callable[[Iterator[pa.RecordBatch]], Iterator[list]],
+    drop: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add columns that Python computes; columns of the same names are replaced.
 
     ``compute`` gets record batches of the input columns, the first of which sets the size of
-    the slices, and yields for each the list of the output columns.
+    the slices, and yields for each the list of the output columns. Each column is sent once; those
+    in ``drop`` don't come back.
     """
     ship(df.sparkSession)
-    names = {f.name.lower() for f in outputs}
+    names = {f.name.lower() for f in outputs} | {c.lower() for c in drop}
     keep = [c for c in df.columns if c.lower() not in names]
-    source = df.select(*[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)], *[F.col(f"`{c}`") for c in keep])
+    sent = {c.lower(): i for i, c in enumerate(keep)}
+    extra = [c for c in dict.fromkeys(inputs) if c.lower() not in sent]
+    sent |= {c.lower(): len(keep) + i for i, c in enumerate(extra)}
+    at = [sent[c.lower()] for c in inputs]
+    source = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(extra)])
     schema = T.StructType([df.schema[c] for c in keep] + outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def feed() -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
+            for batch in slices(batches, at[0]):
                 held.append(batch)
-                yield batch.select(range(len(inputs)))
+                yield batch.select(at)
 
         for columns in compute(feed()):
             batch = held.pop()
-            kept = [batch.column(i) for i in range(len(inputs), batch.num_columns)]
+            kept = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(kept + list(columns), names=schema.names)
 
     return source.mapInArrow(run, schema)
