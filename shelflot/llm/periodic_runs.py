@@ -207,7 +207,7 @@ def find_runs(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in one array, and the number of each text's words."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
     words = lists.flatten()
     filled = pc.not_equal(words, "")
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -236,8 +236,8 @@ def with_runs(df: DataFrame, text: str = "text", runs: str = "runs", collapsed:
             kept = np.cumsum(marks[:-1]) == 0
             owner = np.repeat(np.arange(len(sizes)), sizes)
             left = np.bincount(owner[kept], minlength=len(sizes))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int64())
-            joined = pc.binary_join(pa.LargeListArray.from_arrays(offsets, words.filter(pa.array(kept))), " ")
+            offsets = pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32())
+            joined = pc.binary_join(pa.ListArray.from_arrays(offsets, words.filter(pa.array(kept))), " ")
             counts = np.bincount(found[:, 0], minlength=len(sizes))
             places = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             structs = pa.StructArray.from_arrays([pa.array(found[:, k]) for k in (1, 2, 3)], names=RUN.names)
