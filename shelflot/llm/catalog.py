@@ -17,6 +17,7 @@ from shelflot.llm.near_vectors import op2_near_vectors
 from shelflot.llm.periodic_runs import op11_periodic_runs
 from shelflot.llm.secret_scan import OP4_SQL, op4_secret_scan
 from shelflot.llm.toxicity import op5_toxicity
+from shelflot.llm.turn_repair import op12_turn_repair
 from shelflot.llm.winnowing import OP13_SQL, op13_decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_byte_bpe,
         op10_language,
         op11_periodic_runs,
+        op12_turn_repair,
         op13_decontaminate,
     )
 }
