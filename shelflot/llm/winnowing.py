@@ -4,8 +4,9 @@ A window is ten consecutive words of a benchmark item; an item of fewer words is
 of ten words has six groups of five; the least of their hashes is the window's fingerprint, so a text's
 fingerprints are few, and a window that occurs in a document has the same one there and in its item.
 
-1. Documents' fingerprints, each with the stretch of windows that chose it, meet the benchmark's. Windows of
-   shorter items are their own fingerprints: every group of as many words meets them.
+1. Documents' fingerprints, each with the stretch of windows that chose it, meet the benchmark's, which are
+   broadcast if they are counted to be few enough. Windows of shorter items are their own fingerprints: every
+   group of as many words meets them.
 2. Each meeting is extended: the windows of its stretch are compared whole, by hashes of all their words.
 3. Windows found cover words and name items. Both are gathered once for each different text, and lists of
    items once for each different set of windows' item lists, so that copies cost nothing more.
@@ -62,10 +63,11 @@ def _window(i: Column) -> Column:
     return F.xxhash64(F.get(F.col("__group"), i), F.get(F.col("__group"), i + (WINDOW - GROUP)))
 
 
-def fingerprints(hashed: DataFrame, short: list[int]) -> DataFrame:
+def fingerprints(hashed: DataFrame, short: list[int], windows: bool = False) -> DataFrame:
     """Explode ``fp``: struct(hash, words, first, upto), the windows from first to upto having this fingerprint.
 
-    ``short`` are the numbers of words of windows of fewer than ten.
+    ``short`` are the numbers of words of windows of fewer than ten. With ``windows`` there is the array of their
+    hashes too.
     """
     count = F.size("__group") - (WINDOW - GROUP)
     starts = F.when(count >= 1, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
@@ -75,19 +77,23 @@ def fingerprints(hashed: DataFrame, short: list[int]) -> DataFrame:
         F.transform("__least", lambda x, i: F.when((i == 0) | (x != F.get(F.col("__least"), i - 1)), i)), lambda i: i.isNotNull()
     )
     step = step.withColumn("__changed", changed)
+    upto = lambda k: F.coalesce(F.get(F.col("__changed"), k + 1), F.size("__least")) - 1
     chosen = F.transform(
         "__changed",
         lambda i, k: F.struct(
             F.get(F.col("__least"), i).alias("hash"),
             F.lit(WINDOW).alias("words"),
             i.alias("first"),
-            (F.coalesce(F.get(F.col("__changed"), k + 1), F.size("__least")) - 1).alias("upto"),
+            upto(k).alias("upto"),
+            *([F.transform(F.sequence(i, upto(k)), _window).alias("windows")] if windows else []),
         ),
     )
     def each(m: int) -> Column:
         return F.transform(
             _groups(m, F.size("__hash")),
-            lambda x, i: F.struct(x.alias("hash"), F.lit(m).alias("words"), i.alias("first"), i.alias("upto")),
+            lambda x, i: F.struct(
+                x.alias("hash"), F.lit(m).alias("words"), i.alias("first"), i.alias("upto"), *([F.array(x).alias("windows")] if windows else [])
+            ),
         )
 
     whole = [each(m) for m in short]
@@ -133,27 +139,32 @@ def contaminated(
     own.union(lists.where(F.col("words") < WINDOW).select("window", "words")).distinct().write.parquet(f"{path}/prints")
     prints = spark.read.parquet(f"{path}/prints")
 
-    # Documents' fingerprints meet them; what meets is kept once for each different text.
-    found = fingerprints(_hashed(source.select("__key", "__whole"), "__whole"), short)
-    found = found.select("__key", F.col("fp.hash").alias("hash"), F.col("fp.words").alias("words"), F.col("fp.first").alias("first"), F.col("fp.upto").alias("upto"))
-    met = found.join(_small(prints), ["hash", "words"], "left_semi")
-    met.groupBy("__key").agg(F.collect_set(F.struct("words", "first", "upto")).alias("met")).write.parquet(f"{path}/met")
-    met = spark.read.parquet(f"{path}/met")
-
-    # Each meeting is extended to the windows of its stretch, which are compared whole.
-    hit = _hashed(source.select("__key", "__whole").join(met, "__key"), "__whole")
-    stretch = F.transform(
-        "met", lambda m: F.transform(F.sequence(m["first"], m["upto"]), lambda i: F.struct(m["words"].alias("words"), i.alias("at")))
-    )
-    opened = F.transform(
-        F.flatten(stretch),
-        lambda w: F.struct(
-            w["words"].alias("words"),
-            w["at"].alias("at"),
-            F.coalesce(*[F.when(w["words"] == m, _group(m, w["at"])) for m in short], _window(w["at"])).alias("window"),
-        ),
-    )
-    hit = hit.select("__key", F.explode_outer(opened).alias("w")).select("__key", "w.words", "w.at", "w.window")
+    # Documents' fingerprints meet them; each meeting is extended to the windows of its stretch, compared whole.
+    narrow = source.select("__key", "__whole")
+    if prints.count() <= BROADCAST_ROWS:
+        # No text or fingerprint is shuffled: windows are hashed beside the fingerprints.
+        met = fingerprints(_hashed(narrow, "__whole"), short, windows=True).select("__key", "fp.*")
+        met = met.join(F.broadcast(prints), ["hash", "words"], "left_semi")
+        hit = met.select("__key", "words", "first", F.posexplode("windows").alias("k", "window"))
+        hit = hit.select("__key", "words", (F.col("first") + F.col("k")).alias("at"), "window")
+    else:
+        # Fingerprints alone are shuffled, and only texts that met the benchmark are read again.
+        met = fingerprints(_hashed(narrow, "__whole"), short).select("__key", "fp.*")
+        met = met.join(prints, ["hash", "words"], "left_semi")
+        met = met.groupBy("__key").agg(F.collect_set(F.struct("words", "first", "upto")).alias("met"))
+        again = _hashed(narrow.join(met, "__key"), "__whole")
+        stretch = F.transform(
+            "met", lambda m: F.transform(F.sequence(m["first"], m["upto"]), lambda i: F.struct(m["words"].alias("words"), i.alias("at")))
+        )
+        opened = F.transform(
+            F.flatten(stretch),
+            lambda w: F.struct(
+                w["words"].alias("words"),
+                w["at"].alias("at"),
+                F.coalesce(*[F.when(w["words"] == m, _group(m, w["at"])) for m in short], _window(w["at"])).alias("window"),
+            ),
+        )
+        hit = again.select("__key", F.explode_outer(opened).alias("w")).select("__key", "w.words", "w.at", "w.window")
     sure = hit.join(_small(lists.select("window", "words", "list")), ["window", "words"])
     sure = sure.groupBy("__key").agg(
         F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("words")).alias("end")))).alias("hits"),
