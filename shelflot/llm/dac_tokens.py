@@ -44,8 +44,10 @@ END_ID = 1
 MAGIC = 0x31434144
 BLOCK_BITS = 512
 #: Words, and pieces of words, whose ids a worker remembers (about 100 MB in all); it forgets all of them
-#: beyond, which changes no result.
-REMEMBERED = 400_000
+#: Bytes of text whose ids make one segment.
+SEGMENT_BYTES = 4 << 20
+#: Words and pieces that an encoder remembers, and the longest of them.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 48
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
 
 SEGMENT = T.StructType(
@@ -178,13 +180,14 @@ def _split_pattern(file: dict) -> regex.Pattern | None:
 class WordEncoder:
     """Ids of texts by a vocabulary file that splits at white space in any case.
 
-    Words between spaces, tabs and line ends are encoded once by the tokenizers library and
-    remembered; since its pattern drops white space and no match spans it, their ids put
-    together are the ids of the text. Names of special tokens in a text are ordinary text.
+    Words between spaces, tabs and line ends are encoded apart; since the file's pattern drops white
+    space and no match spans it, their ids put together are the ids of the text. Names of special tokens
+    get their own ids, as in the library; a file whose names are not matched plainly inside words
+    sends its texts through the library whole.
 
     Words of printable Latin characters fall into fewer pieces by the file's own pattern, so for them
-    the library's normalizer and model are called for each piece instead of for each word; other words,
-    and files with another pre-tokenizer, go through the library whole.
+    the library's normalizer and model are called for each new piece instead of for each word; other words,
+    and files with another pre-tokenizer, go through the library. Only short pieces and words are remembered.
     """
 
     def __init__(self, path: str):
@@ -192,60 +195,95 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pattern = _split_pattern(json.loads(self.tokenizer.to_str()))
+        file = json.loads(self.tokenizer.to_str())
+        pattern = _split_pattern(file)
+        self.splitter = regex.compile(f"{pattern.pattern}| ") if pattern else None
+        added = file.get("added_tokens") or []
+        self.names = [t["content"] for t in added]
+        flags = ("single_word", "lstrip", "rstrip", "normalized")
+        self.whole = any(any(t.get(f) for f in flags) or re.search(r"\s", t["content"]) for t in added)
         self.known: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        found = self.pieces.get(piece)
-        if found is None:
+    def _remember(self, cache: dict[str, tuple[int, ...]], wanted: list[str], learn) -> list[tuple[int, ...]]:
+        """The ids of each wanted text, from the cache or learned; short ones are kept for later."""
+        if len(cache) > REMEMBERED:
+            cache.clear()
+        new = [w for w in wanted if w not in cache]
+        own = dict(zip(new, learn(new), strict=True))
+        cache.update((w, ids) for w, ids in own.items() if len(w) <= REMEMBERED_CHARS)
+        return [own[w] if w in own else cache[w] for w in wanted]
+
+    def _by_model(self, pieces: list[str]) -> Iterator[tuple[int, ...]]:
+        for piece in pieces:
             shown = piece if piece.isascii() else "".join([_BYTE_CHARS[b] for b in piece.encode()])
-            found = self.pieces[piece] = tuple([t.id for t in self.tokenizer.model.tokenize(shown)])
-        return found
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _LATIN.fullmatch(w)] if self.pattern else []
-        # Normalized together: no character of theirs combines with a space.
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(plain)).split(" ") if plain else []
-        if len(normal) != len(plain):
-            plain = normal = []
-        for word, text in zip(plain, normal, strict=True):
-            parts = self.pattern.findall(text)
-            if len(parts) == 1:
-                self.known[word] = self._piece(parts[0])
-            else:
-                self.known[word] = tuple(chain.from_iterable([self._piece(p) for p in parts]))
-        rest = [w for w in words if w not in self.known]
-        for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[word] = tuple(found.ids)
+            yield () if piece == " " else tuple([t.id for t in self.tokenizer.model.tokenize(shown)])
+
+    def _by_library(self, texts: list[str]) -> Iterator[tuple[int, ...]]:
+        for found in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+            yield tuple(found.ids)
+
+    def _latin(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Flat ids of plain words and the number of each; None where normalizing changes their number."""
+        # Normalized and split together: no character of theirs combines with a space, and a space is its own part.
+        parts = pa.array(self.splitter.findall(self.tokenizer.normalizer.normalize_str(" ".join(words))), pa.string()).dictionary_encode()
+        at = parts.indices.to_numpy(zero_copy_only=False)
+        pieces = parts.dictionary.to_pylist()
+        space = np.array([p == " " for p in pieces], bool)[at] if len(at) else np.zeros(0, bool)
+        if space.sum() + 1 != len(words):
+            return None
+        table, starts, sizes = _table(self._remember(self.pieces, pieces, self._by_model))
+        flat, n = _gather(table, starts, sizes, at)
+        return flat, np.bincount(np.cumsum(space), weights=n, minlength=len(words)).astype(np.int64)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct words: flat ids, where each word's begin, and their number."""
+        plain = np.zeros(len(words), bool)
+        if self.splitter and len(words):
+            plain = pc.match_substring_regex(words, f"^(?:{_LATIN.pattern})$").to_numpy(zero_copy_only=False)
+            for name in self.names:
+                plain &= ~pc.match_substring(words, name).to_numpy(zero_copy_only=False)
+        latin = self._latin(words.filter(pa.array(plain)).to_pylist()) if plain.any() else None
+        if latin is None:
+            latin, plain = (np.zeros(0, np.uint32), np.zeros(0, np.int64)), np.zeros(len(words), bool)
+        rest = words.filter(pa.array(~plain)).to_pylist()
+        table, _, sizes = _table(self._remember(self.known, rest, self._by_library))
+        n, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        n[plain], n[~plain] = latin[1], sizes
+        starts[plain] = np.cumsum(latin[1]) - latin[1]
+        starts[~plain] = np.cumsum(sizes) - sizes + len(latin[0])
+        return np.concatenate([latin[0], table]), starts, n
 
     def __call__(self, texts: list[str | None] | pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each with the end id behind it, and the length of each."""
         clean = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        end = np.array([] if end_id is None else [end_id], np.uint32)
+        if self.whole:
+            ids = [np.concatenate([np.array(x, np.uint32), end]) for x in self._by_library(clean.to_pylist())]
+            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
         for space in "\n\t\r":
             clean = pc.replace_substring(clean, space, " ")
         split = pc.split_pattern(clean, " ")
         coded = split.flatten().dictionary_encode()
-        words, places = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        known = self.known
-        new = [w for w in words if w not in known]
-        for k in range(0, len(new), 20_000):
-            self._learn(new[k : k + 20_000])
-        ids = [known[w] for w in words]
-        ids.append(() if end_id is None else (end_id,))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        table, starts = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes
+        table, starts, sizes = self._words(coded.dictionary)
+        table, starts, sizes = np.concatenate([table, end]), np.append(starts, len(table)), np.append(sizes, len(end))
+        places = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
-        places = np.insert(places, ends, len(words))  # the end id is one more word of each text
-        n = sizes[places]
-        upto = np.cumsum(n)
-        flat = table[np.repeat(starts[places] - (upto - n), n) + np.arange(int(n.sum()))]
-        return flat, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
+        places = np.insert(places, ends, len(sizes) - 1)  # the end id is one more word of each text
+        flat, n = _gather(table, starts, sizes, places)
+        return flat, np.diff(np.cumsum(n)[ends + np.arange(len(ends))], prepend=0)
+
+
+def _table(ids: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids behind each other, where each tuple begins, and its length."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes
+
+
+def _gather(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries at ``places``, behind each other, and the number of each."""
+    n = sizes[places]
+    return table[np.repeat(starts[places] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
 
 @cache
@@ -270,7 +308,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, start = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        for k, batch in enumerate(slices(batches)):
+        for k, batch in enumerate(slices(batches, limit=SEGMENT_BYTES)):
             ids, lengths = coder(batch.column(0), end_id)
             row = [part, k, start, len(ids), batch.column(1).to_pylist(), lengths.tolist(), encode_ids(ids)]
             start += len(ids)

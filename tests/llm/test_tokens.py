@@ -54,9 +54,9 @@ def test_word_encoder_is_the_library():
 
     path = public_tokenizers.path(dac_tokens.VOCABULARY)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     texts = [*TEXTS, "é Ä B's don't", "İx ΣΣ 1234"]
     texts += ["\u0130'Sx 'RE's \xbdx\xb2\xaa!? \xe9a a\xadb a\xa0b a\x85b \x0bq\x0c \xc0\xc9*** \u0149 \u01c5 x_9\xbd"]
+    texts += ["<|endoftext|> x", "a<|startoftext|>b <|ENDOFTEXT|>", "<|endoftext|><|endoftext|>", "<|endo ftext|>", "w" * 100_000 + " x"]
     texts += [joint.join(map(chr, range(0x21, 0x2B0))) for joint in ("", " ")]
     flat, lengths = dac_tokens.WordEncoder(path)(texts)
     expected = [whole.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
@@ -64,6 +64,14 @@ def test_word_encoder_is_the_library():
     assert flat.tolist() == [i for x in expected for i in x]
 
 
+def test_digests_and_round_trip_are_made_in_the_worker(spark, documents):
+    rows = [(1, "Hé llo 12"), (2, None), (3, "")]
+    got = byte_bpe.encode(documents(rows), add=("ids", "decoded_sha256", "round_trip"), drop=("text",))
+    assert "text" not in got.columns and "decoded" not in got.columns
+    for r, (_, text) in zip(sorted(got.collect(), key=lambda r: r.doc_id), rows, strict=True):
+        assert r.round_trip and r.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+
+
 def test_token_files(spark, documents, tmp_path):
     rows = [(7, "b c"), (3, None), (None, "first"), (5, "a " * 3_000), (5, "a " * 3_000), (9, "")]
     path = str(tmp_path / "tokens")
@@ -79,3 +87,20 @@ def test_token_files(spark, documents, tmp_path):
     empty = str(tmp_path / "none")
     dac_tokens.write_tokens(documents([]), empty)
     assert dac_tokens.digests(spark, empty).count() == 0
+
+
+def test_query_against_the_library(spark, tmp_path, monkeypatch):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(dac_tokens, "SEGMENT_BYTES", 500)  # a document above it is a slice of its own
+    rows = [(7, "b c <|endoftext|> d"), (3, None), (5, "long text, again " * 300), (5, "long text, again " * 300), (9, ""), (1, "Ça va? 42")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    whole, start, want = Tokenizer.from_file(public_tokenizers.path(dac_tokens.VOCABULARY)), 0, []
+    for doc, text in sorted(rows, key=lambda r: r[0]):
+        ids = np.array(whole.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        want.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = [tuple(r) for r in dac_tokens.op6_token_files(spark, str(tmp_path)).orderBy("start").collect()]
+    assert got == want
