@@ -7,6 +7,7 @@ splitting pattern must begin anew, so that a worker's memory follows the piece,
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -89,39 +90,66 @@ class RawBytes:
         return b"".join(out)
 
 
+FIELDS = {
+    "ids": T.ArrayType(T.IntegerType()),
+    "decoded": T.BinaryType(),
+    "decoded_sha256": T.StringType(),
+    "round_trip": T.BooleanType(),
+}
+
+
 def encode(
-    df: DataFrame, text: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN
+    df: DataFrame,
+    text: str = "text",
+    ranks: str | None = None,
+    pattern: str = public_tokenizers.PATTERN,
+    add: tuple[str, ...] = ("ids", "decoded"),
+    drop: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add ``ids``, the token ids of each text, and ``decoded``, the bytes that they give back.
 
-    A NULL or empty text has no ids and no bytes. Repeated rows stay as they are, every column
-    is kept, columns named ``ids`` or ``decoded`` are replaced, an empty table stays empty.
+    ``add`` names the columns to add: also ``decoded_sha256``, the digest of these bytes, and ``round_trip``, whether
+    they are those of the text, for which the bytes don't leave the worker. Columns in ``drop`` don't come back.
+    A NULL or empty text has no ids and no bytes. Repeated rows stay as they are, every other column
+    is kept, columns of the added names are replaced, an empty table stays empty.
     """
     data = df.sparkSession.sparkContext.broadcast(rank_bytes(ranks or public_tokenizers.path(RANKS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         coder, raw = encoding(data.value, pattern), RawBytes(data.value)
         for batch in batches:
-            found = [encode_text(coder, t) for t in batch.column(0).to_pylist()]
-            flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
-            lengths = np.array([len(x) for x in found], np.int64)
-            yield [list_array(flat, lengths), pa.array([raw.decode(x) for x in found], pa.binary())]
-
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
-    return extend(df, [text], fields, run)
+            found = {name: [] for name in ("ids", *add)}
+            for value in batch.column(0):
+                whole = value.as_py() or ""
+                ids = encode_text(coder, whole)
+                found["ids"].append(ids.astype(np.int32))
+                if len(add) > 1 or add[0] != "ids":
+                    own = raw.decode(ids)
+                    made = {"decoded": lambda: own, "decoded_sha256": lambda: hashlib.sha256(own).hexdigest(), "round_trip": lambda: own == whole.encode()}
+                    for name in add:
+                        if name != "ids":
+                            found[name].append(made[name]())
+            lengths = np.array([len(x) for x in found["ids"]], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int32), *found["ids"]])
+            types = {"decoded": pa.binary(), "decoded_sha256": pa.string(), "round_trip": pa.bool_()}
+            yield [list_array(flat, lengths) if name == "ids" else pa.array(found[name], types[name]) for name in add]
+
+    return extend(df, [text], [T.StructField(name, FIELDS[name]) for name in add], run, drop)
 
 
 def op9_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     """Digests of every document's ids and of the bytes decoded from them."""
-    return digests(encode(table(spark, directory, "documents", "doc_id", "text")))
+    docs = table(spark, directory, "documents", "doc_id", "text")
+    return digests(encode(docs, add=("ids", "decoded_sha256"), drop=("text",)))
 
 
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents."""
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    own = F.col("decoded_sha256") if "decoded_sha256" in encoded.columns else F.sha2("decoded", 256)
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        own.alias("decoded_sha256"),
     )

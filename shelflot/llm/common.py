@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from shelflot.session import partitions, pinned
 
 #: Bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
