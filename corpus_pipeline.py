@@ -46,11 +46,8 @@ def mixed(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """Token ids of each document of the mix, and whether they decode to its very bytes."""
-    found = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return found.select(
-        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip")
-    )
+    found = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), add=("ids", "round_trip"), drop=("text",))
+    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
