@@ -730,7 +730,7 @@ table(
     "arrived",
     f"""SELECT 'expiry' AS alert_type, 'New batch ' || batch_no || ' of ' || name || ' expires in ' || {days()} || ' days'
         AS message, medicine_id, CASE WHEN {days()} <= 7 THEN 'high' ELSE 'medium' END AS priority, id AS source_id
-        FROM lots WHERE id % 2 = 1 AND {days()} <= 30""",
+        FROM lots WHERE {days()} <= 30""",
     "lots",
 )
 
@@ -967,3 +967,10 @@ oracle(
         WHERE event_type = 'purchase' GROUP BY 1
         HAVING CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT MAX(ts) FROM events WHERE event_type = 'purchase')""",
 )
+
+oracle(
+    "stream_daily_deltas",
+    f"""SELECT CAST(ts AS DATE) AS sale_date, COUNT(*) AS transactions, COUNT(*) AS total_units,
+        {money('SUM(CAST(value AS DECIMAL(18,2)))')} AS total_revenue FROM events
+        WHERE event_type = 'purchase' GROUP BY 1""",
+)

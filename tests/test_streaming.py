@@ -61,6 +61,54 @@ def test_replayed_micro_batch_overwrites_itself(spark, tmp_path):
     assert SC.current_stock(spark, ledger).first().quantity == 4
 
 
+def test_a_micro_batch_touches_the_buckets_of_its_carts_alone(spark, tmp_path):
+    """Many micro-batches give what serving all carts one by one gives; other buckets keep their version."""
+    stock = {i: 3 for i in range(40)}
+    ledger, source, progress = (str(tmp_path / n) for n in ("ledger", "in", "cp"))
+    SC.open_ledger(stock_of(spark, stock), ledger, buckets=8)
+    carts = [cart(i + 1, [(i % 3, 1 + i % 2), (7, 1)]) for i in range(9)]
+    for k in range(0, 9, 3):
+        spark.createDataFrame(carts[k : k + 3], CARTS).coalesce(1).write.mode("append").parquet(source)
+        SC.stream_apply_sales(spark.readStream.schema(CARTS).parquet(source), ledger, progress).awaitTermination()
+    left, accepted = one_by_one(stock, carts)
+    assert {r.id: r.quantity for r in SC.current_stock(spark, ledger).collect()} == left
+    assert {r.cart_id: r.accepted for r in spark.read.parquet(f"{ledger}/decisions").collect()} == accepted
+    versions = SC.manifest(spark, ledger, SC.last_epoch(spark, ledger))
+    touched = {r[0] for r in spark.createDataFrame([(0,), (1,), (2,), (7,)], "id long").select(SC._bucket("id", 8)).collect()}
+    assert {b for b, v in versions.items() if v == -1} == set(range(8)) - touched
+    written = spark.read.parquet(f"{ledger}/stock/version=2").select("bucket").distinct().collect()
+    assert {r.bucket for r in written} == {b for b, v in versions.items() if v == 2}
+    assert SC.current_stock(spark, ledger, before=0).agg(F.sum("quantity")).first()[0] == 120
+
+
+def test_a_stopped_micro_batch_changes_nothing(spark, tmp_path):
+    """Without its manifest a micro-batch's stock does not count."""
+    ledger = str(tmp_path / "ledger")
+    SC.open_ledger(stock_of(spark, {1: 10, 2: 5}), ledger, buckets=2)
+    SC._write_stock(stock_of(spark, {1: 0, 2: 0}), ledger, 0, 2)
+    assert SC.current_stock(spark, ledger).agg(F.sum("quantity")).first()[0] == 15
+
+
+def test_changes_add_up_to_the_batch_report(spark, tmp_path):
+    """Out of order, late and repeated lines: totals equal the batch report over all different lines."""
+    base = dt.datetime(2025, 3, 1)
+    rows = [(i, 1, 1 + i % 3, money(2), base + dt.timedelta(hours=(7 * i) % 240)) for i in range(90)]
+    rows.append((900, 1, -2, money(2), base + dt.timedelta(days=3)))  # taken back
+    columns = ["id", "batch_id", "quantity_sold", "selling_price", "sold_on"]
+    source, store, progress = (str(tmp_path / n) for n in ("in", "days", "cp"))
+    SD.open_days(spark, store)
+    for part in (rows[:40], rows[30:70] + [(901, 1, 1, money(1), None)], rows[60:] + rows[:5]):
+        frame(spark, SALES, part, columns).coalesce(1).write.mode("append").parquet(source)
+        SD.stream_daily_deltas(spark.readStream.schema(SALES).parquet(source), store, progress).awaitTermination()
+    names = ["sale_date", "transactions", "total_units", "total_revenue"]
+    batch = S.daily_sales(frame(spark, SALES, rows, columns)).select(*names).collect()
+    live = SD.daily_totals(spark, store)
+    assert sorted(map(tuple, live.select(*names).collect())) == sorted(map(tuple, batch))
+    late = spark.read.parquet(f"{store}/late").collect()
+    assert sum(r.late_lines for r in live.collect()) == sum(r.sale_date is not None for r in late) > 0
+    assert [r.id for r in late if r.sold_on is None] == [901]
+
+
 def test_alert_stream_says_things_once(spark, tmp_path, medicines, edges):
     source, store, progress = (str(tmp_path / n) for n in ("in", "alerts", "cp"))
     SA.start_store(spark.createDataFrame([], ALERTS), store)
