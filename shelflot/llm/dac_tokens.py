@@ -45,7 +45,7 @@ MAGIC = 0x31434144
 BLOCK_BITS = 512
 #: Words, and pieces of words, whose ids a worker remembers (about 100 MB in all); it forgets all of them
 #: Bytes of text whose ids make one segment.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 8 << 20
 #: Words and pieces that an encoder remembers, and the longest of them.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 48
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
@@ -198,6 +198,9 @@ class WordEncoder:
         file = json.loads(self.tokenizer.to_str())
         pattern = _split_pattern(file)
         self.splitter = regex.compile(f"{pattern.pattern}| ") if pattern else None
+        steps = [s["type"] for s in (file.get("normalizer") or {}).get("normalizers") or []]
+        # What a normalizer of these steps makes of ASCII words, which have no white space inside.
+        self.lowers = steps == ["NFC", "Replace", "Lowercase"]
         added = file.get("added_tokens") or []
         self.names = [t["content"] for t in added]
         flags = ("single_word", "lstrip", "rstrip", "normalized")
@@ -226,7 +229,9 @@ class WordEncoder:
     def _latin(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Flat ids of plain words and the number of each; None where normalizing changes their number."""
         # Normalized and split together: no character of theirs combines with a space, and a space is its own part.
-        parts = pa.array(self.splitter.findall(self.tokenizer.normalizer.normalize_str(" ".join(words))), pa.string()).dictionary_encode()
+        joined = " ".join(words)
+        normal = joined.lower() if self.lowers and joined.isascii() else self.tokenizer.normalizer.normalize_str(joined)
+        parts = pa.array(self.splitter.findall(normal), pa.string()).dictionary_encode()
         at = parts.indices.to_numpy(zero_copy_only=False)
         pieces = parts.dictionary.to_pylist()
         space = np.array([p == " " for p in pieces], bool)[at] if len(at) else np.zeros(0, bool)
@@ -243,16 +248,21 @@ class WordEncoder:
             plain = pc.match_substring_regex(words, f"^(?:{_LATIN.pattern})$").to_numpy(zero_copy_only=False)
             for name in self.names:
                 plain &= ~pc.match_substring(words, name).to_numpy(zero_copy_only=False)
-        latin = self._latin(words.filter(pa.array(plain)).to_pylist()) if plain.any() else None
-        if latin is None:
-            latin, plain = (np.zeros(0, np.uint32), np.zeros(0, np.int64)), np.zeros(len(words), bool)
-        rest = words.filter(pa.array(~plain)).to_pylist()
-        table, _, sizes = _table(self._remember(self.known, rest, self._by_library))
-        n, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        n[plain], n[~plain] = latin[1], sizes
-        starts[plain] = np.cumsum(latin[1]) - latin[1]
-        starts[~plain] = np.cumsum(sizes) - sizes + len(latin[0])
-        return np.concatenate([latin[0], table]), starts, n
+        ascii_only = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+        n, starts, tables, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        for mask, encode in ((plain & ascii_only, self._latin), (plain & ~ascii_only, self._latin), (~plain, self._rest)):
+            own = words.filter(pa.array(mask)).to_pylist()
+            if own:
+                table, sizes = encode(own) or self._rest(own)
+                n[mask], starts[mask] = sizes, size + np.cumsum(sizes) - sizes
+                tables.append(table)
+                size += len(table)
+        return np.concatenate([np.zeros(0, np.uint32), *tables]), starts, n
+
+    def _rest(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words by the library, and the number of each."""
+        table, _, sizes = _table(self._remember(self.known, words, self._by_library))
+        return table, sizes
 
     def __call__(self, texts: list[str | None] | pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each with the end id behind it, and the length of each."""
