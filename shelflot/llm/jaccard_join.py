@@ -10,15 +10,18 @@ document alone has lead to no pair, so most documents are done when their prefix
    than one document has. Hashes that fall together are counted together, in every document alike, which
    leaves the order one order.
 2. Documents with the same prefix and size form a group; equal sets are one variant in it. Groups meet by
-   the shingles of their prefixes, once for a whole group; sizes filter the pairs.
-   A document that shares any of its prefix keeps its set beside it.
-3. Group pairs are expanded to pairs of variants. A variant carries 256 bits, each the parity of its
-   shingles there; more bits differ between two variants than shingles may only if they are not linked, so the
-   join passes few others. The full sets of what it passes are compared exactly.
-
-Only components are asked for. So variants of a shingle are first compared in small random parts, in a few
-rounds, and then only those pairs that may still connect different components. A large group of near
-copies thus costs some comparisons for each member, not one for each pair.
+   the shingles of their prefixes, once for a whole group. A document that shares any of its prefix keeps
+   its set beside it.
+3. Pairs of groups are filtered: by their sizes; by their shingles that no other document has, as these
+   come first in a prefix and none of them can be shared; and by 512 bits, each the parity of
+   a part of the other shingles. Bits that differ and lone shingles both count differences, of which linked sets have few.
+   A pair of groups comes from one shingle alone if the least shingles of their prefixes overlap.
+4. The group pairs left are expanded to pairs of variants and these compared exactly by their full sets.
+
+Only components are asked for. So first only one variant of each group is compared, in small random parts of
+each shingle's groups, and the components of what is linked are found to the end. Then only those group pairs
+are made that may still connect different components. A large group of near copies thus costs some
+comparisons for each member, not one for each pair.
 """
 
 from __future__ import annotations
@@ -37,16 +40,19 @@ from shelflot.llm.common import components, release, ship, table
 from shelflot.session import partitions, pinned, run_dir
 
 WORDS, NUMERATOR, DENOMINATOR = 3, 90, 100
-#: Words whose hashes a worker remembers; it forgets all of them beyond, which changes no result.
-REMEMBERED = 300_000
-#: Documents in a chunk, about.
-CHUNK_ROWS = 2_000
-#: Rounds of comparisons in random parts of a shingle's variants, and the size of a part, about.
-ROUNDS, PART = 1, 5
+#: Words whose hashes a worker remembers, and the longest of them; it forgets all beyond, which changes no result.
+REMEMBERED, LONGEST = 300_000, 64
+#: Documents, and bytes of text, in a chunk, about; bytes of text whose shingles a bucket counts.
+CHUNK_ROWS, CHUNK_BYTES, BUCKET_BYTES = 2_000, 16 << 20, 32 << 20
+#: Size of a random part of a shingle's groups, about, and least shingles of a prefix that a pair is looked for in.
+PART, HEAD = 5, 12
+#: Bits of parity of a set, as 64-bit numbers.
+PARITY = 8
 
 _PACKET = "chunk bigint, hashes binary, counts binary"
-_DOCS = "doc_id bigint, text_hash bigint, n int, fp string, prefix string, parity array<bigint>, shared array<bigint>, whole binary"
-_VARIANTS = "fp string, n int, prefix string, parity array<bigint>, doc_id bigint, text_hash bigint, shared array<bigint>"
+_DOCS = "doc_id bigint, text_hash bigint, n int, alone int, fp binary, prefix binary, parity array<bigint>, shared array<bigint>, whole binary"
+_VARIANTS = "fp binary, n int, alone int, prefix binary, parity array<bigint>, doc_id bigint, text_hash bigint, shared array<bigint>"
+_GROUPS = "prefix binary, n int, alone int, shared array<bigint>, first binary, members bigint, parity array<bigint>"
 
 
 def needed(n, numerator: int, denominator: int):
@@ -85,7 +91,9 @@ class Shingler:
     def _hash(self, word: bytes) -> int:
         found = self.known.get(word)
         if found is None:
-            found = self.known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            if len(word) <= LONGEST:
+                self.known[word] = found
         return found
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -106,34 +114,36 @@ class Shingler:
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """256 bits as four numbers: for each value of the hash's highest byte whether it occurs an odd number of times."""
-    odd = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    """64 * PARITY bits: for each value of the hash's highest bits whether it occurs an odd number of times."""
+    odd = np.bincount((hashes >> np.uint64(64 - (64 * PARITY - 1).bit_length())).astype(np.int64), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _print(hashes: np.ndarray) -> str:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest()
+def _print(hashes: np.ndarray, n: int = 0) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16, salt=n.to_bytes(8, "little")).digest()
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """``text, doc_id, text_hash, chunk``: documents dealt into chunks of about CHUNK_ROWS by hash.
+def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``text, doc_id, text_hash, chunk``: documents dealt by hash into chunks of about CHUNK_ROWS, or of
+    CHUNK_BYTES where texts are long; and the number of buckets to count their shingles in.
 
     Copies of one row lie in one chunk only if their ids are equal too; rows repeated as a whole are
     first counted as one, since they are in one class whatever else.
     """
     rows = docs.select("text", F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"))
-    n = max(1, docs.count() // CHUNK_ROWS)
+    many, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    parts = partitions(docs.sparkSession)
+    n = max(1, many // CHUNK_ROWS, size // CHUNK_BYTES)
     chunk = F.pmod(F.xxhash64("doc_id", "text_hash", F.monotonically_increasing_id() % 64), F.lit(n))
-    return rows.withColumn("chunk", chunk).repartition(partitions(docs.sparkSession), "chunk")
+    return rows.withColumn("chunk", chunk).repartition(parts, "chunk"), max(parts, size // BUCKET_BYTES)
 
 
-def shared_shingles(chunked: DataFrame, words: int) -> DataFrame:
+def shared_shingles(chunked: DataFrame, words: int, buckets: int) -> DataFrame:
     """For each chunk, which of its shingles several documents have, and how many: ``_PACKET``.
 
     Every chunk sends each distinct hash once, in as many packets as there are buckets of the hash; a
     bucket's task counts its part of the hashes, so none is larger than another.
     """
-    buckets = partitions(chunked.sparkSession)
     width = -(-(1 << 40) // buckets)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +180,7 @@ def shared_shingles(chunked: DataFrame, words: int) -> DataFrame:
 
 
 def prefixes(chunked: DataFrame, shared: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
-    """Each document's size, fingerprint, a hash of its prefix, and those shingles in it that others have too."""
+    """Each document's size, lone shingles, fingerprint, a hash of its prefix and size, parities, and what others share of its prefix."""
 
     def assign(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         make, out = Shingler(words), []
@@ -192,8 +202,10 @@ def prefixes(chunked: DataFrame, shared: DataFrame, words: int, numerator: int,
             first = np.lexsort((full, times))[: n - int(needed(n, numerator, denominator)) + 1]
             several = full[first][times[first] > 1]
             whole = full.tobytes() if len(several) else None
-            out.append((doc_id, text_hash, n, _print(full), _print(full[first]), parity(full), several.view(np.int64), whole))
-        found = pd.DataFrame(out, columns=["doc_id", "text_hash", "n", "fp", "prefix", "parity", "shared", "whole"])
+            others = full[times > 1]
+            known_by = _print(full), _print(full[first], n), parity(others)
+            out.append((doc_id, text_hash, n, n - len(others), *known_by, several.view(np.int64), whole))
+        found = pd.DataFrame(out, columns=["doc_id", "text_hash", "n", "alone", "fp", "prefix", "parity", "shared", "whole"])
         return found.astype({"doc_id": "Int64"})
 
     return chunked.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(assign, _DOCS)
@@ -215,52 +227,85 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
 
     left = sets.select(F.col("fp").alias("a"), F.col("whole").alias("x"))
     right = sets.select(F.col("fp").alias("b"), F.col("whole").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _sizes_fit(small: Column, large: Column, numerator: int, denominator: int) -> Column:
     return F.least(small, large) * denominator >= F.greatest(small, large) * numerator
 
 
-def _parities_fit(a: Column, b: Column, sizes: Column, numerator: int, denominator: int) -> Column:
-    """Whether no more bits differ than shingles may: (1 - t) / (1 + t) of the two sizes."""
-    differ = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(1, 4)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
-    return differ * (denominator + numerator) <= sizes * (denominator - numerator)
+def _differences_fit(x: str, y: str, numerator: int, denominator: int) -> Column:
+    """Whether sets may be linked by what is known to differ: lone shingles of both, and bits of parity.
 
+    Linked sets differ in (1 - t) / (1 + t) of their sizes at most. A group of several variants has no parity: unknown.
+    """
+    n, alone = F.col(f"{x}.n") + F.col(f"{y}.n"), F.col(f"{x}.alone") + F.col(f"{y}.alone")
+    px, py = F.col(f"{x}.parity"), F.col(f"{y}.parity")
+    bits = sum((F.bit_count(F.get(px, i).bitwiseXOR(F.get(py, i))) for i in range(1, PARITY)), F.bit_count(F.get(px, 0).bitwiseXOR(F.get(py, 0))))
+    return (alone + F.coalesce(bits, F.lit(0))) * (denominator + numerator) <= n * (denominator - numerator)
 
-def _some_pairs(entries: DataFrame, turn: int, numerator: int, denominator: int) -> DataFrame:
-    """Pairs of variants of different components that meet in a random part of a shingle's variants.
 
-    A part holds about PART variants of sizes within the threshold of each other or nearly so; which ones
-    changes with the turn.
-    """
+def _lone_fit(x: str, y: str, numerator: int, denominator: int) -> Column:
+    """Whether enough shingles are left for the overlap that links, without those that no other document has."""
+    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.alone"), F.col(f"{y}.n") - F.col(f"{y}.alone"))
+    return left * (denominator + numerator) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * numerator
+
+
+def _fit(x: str, y: str, numerator: int, denominator: int) -> Column:
+    return _sizes_fit(F.col(f"{x}.n"), F.col(f"{y}.n"), numerator, denominator) & _lone_fit(x, y, numerator, denominator)
+
+
+def _in_parts(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows that share the keys with others, with a random ``part`` of about PART of them."""
+    parts = df.groupBy(*keys).agg(F.ceil(F.count("*") / PART).alias("parts"), F.count("*").alias("m")).where("m > 1").drop("m")
+    return df.join(parts, keys).withColumn("part", F.pmod(F.xxhash64(name), "parts"))
+
+
+def _some_pairs(entries: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs ``a < b`` of groups that meet in a random part of a shingle's groups of about one size."""
     step = float(np.log(denominator / numerator)) if numerator < denominator else 1e-9
-    kind = F.floor(F.log(F.col("n").cast("double")) / step + turn / ROUNDS).cast("long")
-    classed = entries.withColumn("kind", kind)
-    many = classed.groupBy("token", "kind").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    parts = many.where("lo <> hi").select("token", "kind", F.ceil(F.col("m") / PART).alias("parts"))
-    dealt_out = classed.join(parts, ["token", "kind"]).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(turn)), "parts"))
-    return _cross_pairs(dealt_out, ["token", "kind", "part"], numerator, denominator)
+    kind = F.floor(F.log(F.col("n").cast("double")) / step).cast("long")
+    parted = _in_parts(entries.withColumn("kind", kind), ["token", "kind"], "prefix")
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "kind", "part")]
+    both = parted.alias("x").join(parted.alias("y"), [*meet, F.col("x.prefix") < F.col("y.prefix"), _fit("x", "y", numerator, denominator)])
+    return both.select(F.col("x.prefix").alias("a"), F.col("y.prefix").alias("b")).distinct()
 
 
-def _cross_pairs(entries: DataFrame, keys: list[str], numerator: int, denominator: int) -> DataFrame:
-    """Distinct pairs ``a < b`` of variants that meet by the keys, differ in component and fit in size."""
-    right = entries.select(*keys, F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("parity").alias("pb"))
-    both = entries.join(right, keys).where((F.col("fp") < F.col("b")) & (F.col("component") != F.col("cb")))
-    both = both.where(_sizes_fit(F.col("n"), F.col("nb"), numerator, denominator))
-    both = both.where(_parities_fit(F.col("parity"), F.col("pb"), F.col("n") + F.col("nb"), numerator, denominator))
-    return both.select(F.col("fp").alias("a"), "b").distinct()
+def _some_inside(members: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs ``a < b`` of variants of one group that meet in a random part of it."""
+    parted = _in_parts(members, ["prefix"], "fp")
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("prefix", "part")]
+    both = parted.alias("x").join(parted.alias("y"), [*meet, F.col("x.fp") < F.col("y.fp"), _differences_fit("x", "y", numerator, denominator)])
+    return both.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
-def _placed(entries: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Entries with a component that their variant is in by the links so far.
+def _open_pairs(entries: DataFrame, groups: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs ``a <= b`` of groups that may hold linked variants of different components.
 
-    Star contractions are not carried to the end here: what they leave apart only costs comparisons.
+    ``groups`` has, for each group that meets another or holds several variants, ``prefix``, its least and greatest component ``lo, hi``,
+    ``n, alone, parity, head``. Two groups whose heads overlap make a pair only at the least shingle of both heads.
     """
-    if links is None:
-        return entries.withColumn("component", F.col("fp"))
-    found = components(links, rounds=3).withColumnRenamed("node", "fp")
-    return entries.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    placed = entries.select("token", "prefix").join(groups, "prefix")
+    still = placed.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
+    placed = pinned(placed.join(still, "token", "left_semi"))
+    same = F.least("x.lo", "y.lo") == F.greatest("x.hi", "y.hi")
+    first = F.array_min(F.array_intersect("x.head", "y.head"))
+    once = F.coalesce(first == F.col("x.token"), F.lit(True))
+    conditions = [
+        F.col("x.token") == F.col("y.token"), F.col("x.prefix") < F.col("y.prefix"), ~same,
+        _fit("x", "y", numerator, denominator), _differences_fit("x", "y", numerator, denominator), once,
+    ]
+    both = placed.alias("x").join(placed.alias("y"), conditions).select(F.col("x.prefix").alias("a"), F.col("y.prefix").alias("b")).distinct()
+    inside = groups.where("lo <> hi")
+    return both.union(inside.select(F.col("prefix").alias("a"), F.col("prefix").alias("b")))
+
+
+def _expanded(pairs: DataFrame, members: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs of variants of different components that the pairs of groups stand for."""
+    one = pairs.join(members.alias("x"), F.col("a") == F.col("x.prefix"))
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("a") < F.col("b")) | (F.col("x.fp") < F.col("y.fp")))
+    both = one.join(members.alias("y"), [F.col("b") == F.col("y.prefix"), apart, _differences_fit("x", "y", numerator, denominator)])
+    return both.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
 def classes(
@@ -276,8 +321,8 @@ def classes(
     spark, path = docs.sparkSession, run_dir(docs.sparkSession, "jaccard")
     ship(spark)
     docs = docs.select("doc_id", "text")
-    chunked = dealt(docs)
-    shared = shared_shingles(chunked, words)
+    chunked, buckets = dealt(docs)
+    shared = shared_shingles(chunked, words, buckets)
     prefixes(chunked, shared, words, numerator, denominator).write.parquet(f"{path}/documents")
     del chunked, shared
     release(spark)
@@ -285,34 +330,44 @@ def classes(
 
     # Variants are distinct sets; a group is the variants with one prefix and size.
     variants = found.groupBy("fp").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"),
+        F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"),
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("d"), F.first("shared").alias("shared"),
-    ).select("fp", "n", "prefix", "parity", "d.doc_id", "d.text_hash", "shared")
+    ).where(F.size("shared") > 0).select("fp", "n", "alone", "prefix", "parity", "d.doc_id", "d.text_hash", "shared")
     variants.write.parquet(f"{path}/variants")
     variants = spark.read.schema(_VARIANTS).parquet(f"{path}/variants")
-    groups = variants.groupBy("prefix", "n").agg(F.first("shared").alias("shared"), F.min("fp").alias("first"), F.count("*").alias("members"))
-    tokens = groups.select("prefix", "n", "members", F.explode("shared").alias("token"))
-    met = tokens.groupBy("token").agg(F.count("*").alias("groups"), F.sum("members").alias("members")).where("groups > 1")
-    linked_groups = tokens.join(met.select("token"), "token", "left_semi").select("prefix", "n", "token")
-    inside = groups.where("members > 1").select("prefix", "n", F.xxhash64("prefix", "n").alias("token"))
-    candidates = pinned(linked_groups.union(inside))
-
-    members = variants.select("prefix", "n", "fp", "parity", "doc_id", "text_hash")
-    entries = pinned(candidates.join(members, ["prefix", "n"]).select("token", "fp", "n", "parity"))
+    groups = variants.groupBy("prefix").agg(
+        F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("shared").alias("shared"), F.min("fp").alias("first"),
+        F.count("*").alias("members"), F.first("parity").alias("parity"),
+    ).withColumn("parity", F.when(F.col("members") == 1, F.col("parity")))
+    groups.write.parquet(f"{path}/groups")
+    groups = spark.read.schema(_GROUPS).parquet(f"{path}/groups")
+    tokens = groups.select("prefix", "n", "alone", F.explode("shared").alias("token"))
+    met = tokens.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
+    entries = pinned(tokens.join(met.select("token"), "token", "left_semi"))
+    meeting = entries.select("prefix").union(groups.where("members > 1").select("prefix")).distinct()
+    members = variants.join(meeting, "prefix", "left_semi").select("fp", "prefix", "n", "alone", "parity", "doc_id", "text_hash")
     release(spark)
-    # The set of each variant that meets another, from the row that stands for the variant.
-    wanted = members.join(entries.select("fp").distinct(), "fp", "left_semi").select("fp", "text_hash", F.coalesce("doc_id", F.lit(-1)).alias("id"))
+    # The set of each variant that may meet another, from the row that stands for the variant.
+    wanted = members.select("fp", "text_hash", F.coalesce("doc_id", F.lit(-1)).alias("id"))
     rows = found.where("whole is not null").select("fp", "text_hash", F.coalesce("doc_id", F.lit(-1)).alias("id"), "whole")
     sets = pinned(rows.join(wanted, ["fp", "text_hash", "id"], "left_semi").groupBy("fp").agg(F.first("whole").alias("whole")))
 
-    links = None
-    for turn in range(ROUNDS):
-        some = _some_pairs(_placed(entries, links), turn, numerator, denominator)
-        new = verified(some, sets, numerator, denominator)
-        links = pinned(new if links is None else links.union(new))
-    placed = pinned(_placed(entries, links))
-    still = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    rest = _cross_pairs(placed.join(still, "token", "left_semi"), ["token"], numerator, denominator)
+    # One variant of each group first; then whatever may still connect components.
+    some = _some_pairs(entries, numerator, denominator)
+    for side in "ab":
+        some = some.join(groups.select(F.col("prefix").alias(side), F.col("first").alias(f"{side}1")), side)
+    crowded = groups.where("members > 1").select("prefix")
+    some = some.select(F.col("a1").alias("a"), F.col("b1").alias("b")).union(
+        _some_inside(members.join(crowded, "prefix", "left_semi"), numerator, denominator)
+    )
+    links = pinned(verified(some, sets, numerator, denominator))
+    joined = components(links).withColumnRenamed("node", "fp")
+    placed = members.drop("doc_id", "text_hash").join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    placed = pinned(placed)
+    spans = placed.groupBy("prefix").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    head = F.slice(F.array_sort("shared"), 1, HEAD)
+    spread = groups.select("prefix", "n", "alone", "parity", head.alias("head")).join(spans, "prefix")
+    rest = _expanded(_open_pairs(entries, spread, numerator, denominator), placed, numerator, denominator)
     final = components(links.union(verified(rest, sets, numerator, denominator))).withColumnRenamed("node", "fp")
     classed = found.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "fp").join(final, "fp", "left")
     classed = classed.withColumn("component", F.coalesce("component", "fp"))

@@ -58,6 +58,29 @@ def test_jaccard_against_brute_force(spark, documents, k, num, den):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), expected[r.doc_id])
 
 
+def test_jaccard_of_groups_and_of_texts_about_the_threshold(spark, documents):
+    random.seed(11)
+    words = [f"w{i}" for i in range(3000)]
+    heads = [random.choices(words, k=60) for _ in range(3)]
+    passages = [random.choices(words, k=20) for _ in range(12)]
+    rows = []
+    for i in range(150):  # one prefix and size, but different sets: the common passages are in no prefix
+        rows.append((i, " ".join(heads[i % 3] + passages[random.randrange(12)] + passages[random.randrange(12)])))
+    base = random.choices(words, k=200)
+    for i in range(150, 300):
+        text = list(base)
+        for _ in range(random.randrange(2, 12)):
+            text[random.randrange(200)] = random.choice(words)
+        rows.append((i, " ".join(text)))
+    rows += [(400 + i, "x" * 1_000_000 + f" b c {i // 2}") for i in range(4)]
+    for num, den in ((80, 100), (90, 100)):
+        sets = {i: brute_sets(t, 3) for i, t in rows}
+        links = [(a, b) for a in sets for b in sets if a < b and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+        expected = closed(sets, links)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.classes(documents(rows), 3, num, den).collect()}
+        assert got == {i: (len(sets[i]), expected[i]) for i in sets}
+
+
 def test_one_of_each(spark, documents):
     same = "a b c d e f g h i j"
     rows = [(4, same), (2, same.upper()), (2, same.upper()), (None, same), (9, "x y z"), (5, None), (5, None), (6, " ")]
