@@ -33,7 +33,7 @@ LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "men
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "toolbar", "form", "alertdialog"}
 #: Kinds that are left out unless they hold the article, as where a form is wrapped around a whole page.
 WRAPPERS = {"form", "fieldset"}
-#: Words of a class or id that say that an element is none of the article if the name has no other words.
+#: Words of a class or id that say that an element is none of the article if its other words are neutral.
 NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "banner", "breadcrumb", "breadcrumbs",
     "combx", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "masthead",
@@ -41,6 +41,11 @@ NAMES = {
     "promoted", "recommended", "related", "remark", "replies", "respond", "rss", "share", "sharing", "shoutbox", "sidebar", "signup", "skyscraper",
     "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
+#: Words that take nothing from what the other words of a name say: places, containers, kinds of list.
+NEUTRAL = {
+    "area", "bar", "block", "body", "bottom", "box", "container", "content", "group", "holder", "inner", "item", "items", "left", "list", "main",
+    "outer", "page", "panel", "post", "posts", "reader", "right", "section", "site", "slot", "sticky", "thread", "top", "unit", "user", "wrap", "wrapper",
+}
 #: What :func:`left_out` says of an element: for good; unless it holds the article; only where it is full of links.
 FOR_GOOD, UNLESS_HOLDING, DOUBTFUL = 1, 2, 3
 #: Share of the points of its article, or else of the page, from which an element is not left out.
@@ -88,12 +93,13 @@ def left_out(tag: str, attributes: str) -> int:
             said = UNLESS_HOLDING
         if key in ("class", "id") and said != UNLESS_HOLDING:
             for name in value.split():
-                words = [w.lower() in NAMES for w in _WORD.findall(name) if not w.isdigit()]
-                if words and all(words):
+                words = {w.lower() for w in _WORD.findall(name) if not w.isdigit()}
+                if not words & NAMES:
+                    continue
+                if words <= NAMES | NEUTRAL:
                     said = UNLESS_HOLDING
                     break
-                if any(words):
-                    said = DOUBTFUL
+                said = DOUBTFUL
     return said
 
 

@@ -39,6 +39,17 @@ def test_names_do_not_lose_the_article():
     assert extract(f'<article>{text}<p hidden>no</p></article><div class="related"><article><p>Other, one</p></article></div>') == lines
 
 
+def test_everyday_names_are_left_out():
+    text = "<p>Alpha, beta, gamma delta.</p><p>More, of the same kind.</p>"
+    lines = "Alpha, beta, gamma delta.\nMore, of the same kind."
+    names = """comments-area comment-list user-comments comments-section reader-comments ad-container ad-slot advert-wrapper sticky-ad
+    cookie-bar notice-box promo-box popup-content sidebar-left left-sidebar site-footer site-nav related-posts""".split()
+    for name in names:
+        assert extract(f'<article>{text}<div class="{name}"><p>Not, this.</p></div></article>') == lines
+        assert extract(f'<article>{text}</article><div id="{name}"><p>Not, this.</p></div>') == lines
+        assert extract(f'<div class="{name}"><article>{text}</article></div>') == lines
+
+
 def test_raw_elements_that_close_themselves_or_never():
     for icon in ('<svg class="icon"/>', "<math />", '<object data="x"/>', "<iframe src=x />", "<canvas>", "<noscript>"):
         assert extract(f"{icon}<article><h1>A</h1><p>One, two.</p></article>") == "A\nOne, two."
