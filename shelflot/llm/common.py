@@ -50,6 +50,11 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def least_hashes(wanted: float, of: int) -> int:
+    """The highest of the 64-bit hashes that ``wanted`` of so many evenly spread ones are expected not to exceed."""
+    return (1 << 63) - 1 if of <= wanted else int(wanted / of * 2.0**64) - (1 << 63)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int = 0, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``limit`` bytes of one text column, a row at least."""
     for batch in batches:

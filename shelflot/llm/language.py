@@ -9,21 +9,22 @@ below which a prediction is rejected.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelflot.llm.chars import Words
-from shelflot.llm.common import extend, fold, ship, slices, table
+from shelflot.llm.common import extend, fold, least_hashes, ship, slices, table
 
 BUCKET_BITS = 17
 WIDTH = 16
-#: Rows that train, in the order of a hash: for each language, and in all.
+#: Distinct texts that train, in the order of a hash: for each language (two at least), and in all.
 ROWS_PER_LANGUAGE, ROWS = 500, 4_000
 EPOCHS, RATE = 8, 0.4
 #: Share of right held-back predictions that the rejection may cost.
@@ -36,8 +37,10 @@ REMEMBERED = 150_000
 @dataclass
 class Model:
     languages: list[str]
-    #: For each bucket the product of its embedding and the linear layer.
+    #: For each bucket the product of its embedding and the linear layer, or the embedding where that is narrower.
     scores: np.ndarray
+    #: What turns a mean of these into languages.
+    layer: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
@@ -57,7 +60,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bags(rows: DataFrame) -> DataFrame:
-    """``lang, buckets, counts`` of each text: how often each bucket occurs in it."""
+    """``lang, hash, buckets, counts`` of each text: how often each bucket occurs in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -69,12 +72,12 @@ def bags(rows: DataFrame) -> DataFrame:
                 own.append(kinds.tolist())
                 counts.append(np.bincount(inverse, weights=times[owner], minlength=len(kinds)).astype(np.float32).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
-                names=["lang", "buckets", "counts"],
+                [batch.column(1), batch.column(2), pa.array(own, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
+                names=["lang", "hash", "buckets", "counts"],
             )
 
     ship(rows.sparkSession)
-    return rows.select("text", "lang").mapInArrow(run, "lang string, buckets array<int>, counts array<float>")
+    return rows.select("text", "lang", "hash").mapInArrow(run, "lang string, hash bigint, buckets array<int>, counts array<float>")
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -106,37 +109,55 @@ def descend(samples: list[tuple[np.ndarray, np.ndarray, int]], k: int, seed: int
 def fit(labelled: DataFrame) -> Model:
     """The model from ``text, lang`` rows; rows with a NULL or empty text or a NULL language are left out.
 
-    It learns from a bounded sample (ROWS_PER_LANGUAGE, ROWS) chosen by a hash of the text; the sample
-    alone goes to the driver. Without any such row there is no language to predict.
+    It learns from a bounded sample (ROWS_PER_LANGUAGE, ROWS) chosen by a hash of the text, copies of a
+    text in a language counting once; the sample alone goes to the driver. With many languages each gets
+    fewer texts, two at least, but none is left out. Without any such row there is no language to predict.
     """
-    known = labelled.where("lang is not null and trim(text) <> ''").select("text", F.col("lang").cast("string").alias("lang"))
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(ROWS // 2).select("lang").toArrow()["lang"].to_pylist()
-    if not names:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
-    languages = sorted(names)
+    known = labelled.where("lang is not null and trim(text) <> ''").select(
+        "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("hash")
+    )
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("texts")).toArrow()
+    sizes = dict(sorted(zip(counts["lang"].to_pylist(), counts["texts"].to_pylist(), strict=True)))
+    if not sizes:
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
+    languages = list(sizes)
     each = max(2, min(ROWS_PER_LANGUAGE, ROWS // len(languages)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    sample = known.where(F.col("lang").isin(languages)).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= each)
-    found = bags(sample).toArrow()
+    found = bags(candidates(known, sizes, each)).toArrow()
     place = {name: i for i, name in enumerate(languages)}
-    samples = []
-    for lang, buckets, counts in zip(found["lang"].to_pylist(), found["buckets"], found["counts"], strict=True):
+    samples, taken = [], Counter()
+    rows = zip(found["hash"].to_pylist(), found["lang"].to_pylist(), found["buckets"], found["counts"], strict=True)
+    for _, lang, buckets, counts in sorted(rows, key=lambda r: r[:2]):
         own, share = buckets.values.to_numpy(), counts.values.to_numpy()
-        if len(own):
+        if len(own) and taken[lang] < each:
+            taken[lang] += 1
             samples.append((own, share / share.sum(), place[lang]))
     samples.sort(key=lambda s: (s[2], len(s[0]), s[0].tobytes(), s[1].tobytes()))  # however the rows came
     back, train = samples[::5], [s for i, s in enumerate(samples) if i % 5]
     rows, layer, bias = descend(train or samples, len(languages))
-    model = Model(languages, (rows @ layer.T).astype(np.float32), bias)
+    if len(languages) <= WIDTH:
+        rows, layer = rows @ layer.T, np.eye(len(languages))
+    model = Model(languages, rows.astype(np.float32), layer.astype(float), bias)
     calibrate(model, back)
     return model
 
 
+def candidates(known: DataFrame, sizes: dict[str, int], each: int) -> DataFrame:
+    """``text, lang, hash`` of the texts with the least hashes, ``each`` of a language and some more, once each.
+
+    The threshold of a language follows from its estimated number of texts, so rows are chosen where
+    they lie; the margin makes fewer than ``each`` of more unlikely.
+    """
+    margin = each + 6 * each**0.5 + 12
+    bounds = known.sparkSession.createDataFrame([(s, least_hashes(margin, n)) for s, n in sizes.items()], "lang string, most long")
+    near = known.join(bounds, "lang").where("hash <= most")
+    return near.groupBy("lang", "hash").agg(F.min("text").alias("text"))
+
+
 def calibrate(model: Model, back: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
     """Set the temperature that makes held-back rows likeliest, and the rejection threshold."""
     if not back or len(model.languages) < 2:
         return
-    logits = np.array([shares @ model.scores[buckets] + model.bias for buckets, shares, _ in back])
+    logits = np.array([model.layer @ (shares @ model.scores[buckets]) + model.bias for buckets, shares, _ in back])
     labels = np.array([label for *_, label in back])
     choices = np.exp(np.linspace(0, np.log(30), 60))  # never sharper than trained
     losses = [-np.log(_softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in choices]
@@ -153,11 +174,11 @@ class Predictor:
 
     def __init__(self, model: Model):
         self.model, self.places = model, {}
-        self.sums = np.zeros((0, len(model.languages) + 1), np.float32)
+        self.sums = np.zeros((0, model.scores.shape[1] + 1), np.float32)
 
     def _learn(self, new: list[str]) -> None:
         found, owner = subwords(new)
-        columns = [np.bincount(owner, weights=self.model.scores[found, k], minlength=len(new)) for k in range(len(self.model.languages))]
+        columns = [np.bincount(owner, weights=self.model.scores[found, k], minlength=len(new)) for k in range(self.model.scores.shape[1])]
         columns.append(np.bincount(owner, minlength=len(new)))
         self.places.update(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
         self.sums = np.concatenate([self.sums, np.column_stack(columns).astype(np.float32)])
@@ -178,7 +199,7 @@ class Predictor:
                 names.append(UNKNOWN), scores.append(0.0), accepted.append(False)
                 continue
             total = self.sums[[self.places[w] for w in words]].astype(float).sum(0)
-            logits = total[:-1] / max(total[-1], 1.0) + self.model.bias
+            logits = self.model.layer @ (total[:-1] / max(total[-1], 1.0)) + self.model.bias
             chances = _softmax(logits / self.model.temperature)
             best = int(chances.argmax())
             names.append(self.model.languages[best]), scores.append(float(chances[best]))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelflot.llm.chars import Words, per_text
-from shelflot.llm.common import extend, fold, ship, slices, table
+from shelflot.llm.common import extend, fold, least_hashes, ship, slices, table
 from shelflot.session import pinned, run_dir
 
 CONTEXT = 5
@@ -38,8 +38,8 @@ UNITS = 1 << 20
 HOT_WORDS = 10_000
 #: Words in a window whose mean comparison is a feature beside the text's.
 WINDOW = 8
-#: Labelled rows, in the order of a hash, that calibrate the score at most.
-CALIBRATION_ROWS = 50_000
+#: Distinct labelled texts, those of the least hashes, that calibrate the score (about as many, however many rows).
+CALIBRATION_TEXTS = 50_000
 #: Words whose comparison a worker remembers; it forgets all of them beyond, which changes no result.
 REMEMBERED = 200_000
 #: Labels that are sent to every worker at most; more are joined by a shuffle.
@@ -257,22 +257,23 @@ def _features(df: DataFrame, letters: tuple[np.ndarray, np.ndarray] | DataFrame,
     return extend(df, [text], [T.StructField(f"__f{k}", T.DoubleType()) for k in range(3)], run)
 
 
-def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def logistic(features: np.ndarray, labels: np.ndarray, times: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights (constant first), centre and scale of a logistic regression by Newton steps.
 
-    With labels of one class only, a constant near its share.
+    A row counts as often as ``times`` says. With labels of one class only, a constant near its share.
     """
-    n, positive = len(labels), float(labels.sum()) if len(labels) else 0.0
+    n, positive = float(times.sum()), float(labels @ times)
     k = features.shape[1]
-    if positive in (0.0, float(n)):
+    if positive in (0.0, n):
         share = (positive + 1e-3) / (n + 1.0)
         return np.array([np.log(share / (1 - share))] + [0.0] * k), np.zeros(k), np.ones(k)
-    center, scale = features.mean(0), features.std(0) + 1e-9
-    x = np.column_stack([np.ones(n), (features - center) / scale])
+    center = times @ features / n
+    scale = np.sqrt(times @ (features - center) ** 2 / n) + 1e-9
+    x = np.column_stack([np.ones(len(labels)), (features - center) / scale])
     w, penalty = np.zeros(k + 1), np.diag([1e-6] + [ridge] * k)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (labels - p) - penalty @ w)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (times * (labels - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -284,17 +285,27 @@ def fit(labelled: DataFrame, calibration: DataFrame, broadcast_letters: int = BR
 
     Rows with a NULL label are left out. Without rows of a class the score is a constant.
     """
-    letters = _letters(comparison(letter_counts(labelled.where("toxic is not null"))), broadcast_letters)
-    sample = (
-        calibration.where("toxic is not null")
-        .select("text", F.col("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("text"), "toxic")
-        .limit(CALIBRATION_ROWS)
-    )
-    found = _features(sample, letters).select("toxic", "__f0", "__f1", "__f2").toArrow()
+    spark = labelled.sparkSession
+    path = run_dir(spark, "letter-counts")
+    letter_counts(labelled.where("toxic is not null")).write.parquet(path)  # read several times below
+    letters = _letters(comparison(spark.read.schema(_COUNTS).parquet(path)), broadcast_letters)
+    found = _features(calibration_sample(calibration), letters)
+    found = found.groupBy("__text", "toxic", "__f0", "__f1", "__f2").agg(F.count("*").alias("times")).drop("__text").toArrow()
     found = found.sort_by([(c, "ascending") for c in found.column_names])  # sums do not depend on the order of rows
     features = np.column_stack([found[f"__f{k}"].to_numpy() for k in range(3)])
-    return Model(letters, *logistic(features, found["toxic"].to_numpy().astype(float)))
+    toxic, times = (found[c].to_numpy().astype(float) for c in ("toxic", "times"))
+    return Model(letters, *logistic(features, toxic, times))
+
+
+def calibration_sample(rows: DataFrame, texts: int = CALIBRATION_TEXTS) -> DataFrame:
+    """``text, toxic, __text`` (its hash) of the rows with a label whose text is among about ``texts`` by least hash.
+
+    The threshold follows from the estimated number of distinct texts, so rows stay in their tasks.
+    All copies of a text are in or out, and share its hash.
+    """
+    known = rows.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("__text"))
+    distinct = known.agg(F.approx_count_distinct("__text", 0.02)).first()[0]
+    return known.where(F.col("__text") <= least_hashes(texts, distinct))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

@@ -73,6 +73,38 @@ def test_joined_letters_score_as_those_sent(spark, documents, monkeypatch):
     assert len(got[0]) == 125 and got[0] == got[1]
 
 
+def test_calibration_sample_keeps_whole_groups_of_copies(spark):
+    rows = spark.createDataFrame([(f"text {i}", i % 2) for i in range(4_000)] + [("copy", 0)] * 2_000 + [(None, 1), ("unlabelled", None)], "text string, toxic int")
+    assert toxicity.calibration_sample(rows, 5_000).count() == 6_001
+    some = toxicity.calibration_sample(rows, 400).collect()
+    assert 300 <= len({r.text for r in some}) <= 500
+    assert sum(r.text == "copy" for r in some) in (0, 2_000)
+
+
+def test_rows_weigh_as_often_as_they_occur():
+    random = np.random.default_rng(3)
+    features, times = random.normal(size=(60, 3)), random.integers(1, 5, 60)
+    labels = (features[:, 0] + random.normal(size=60) > 0).astype(float)
+    spread = toxicity.logistic(np.repeat(features, times, axis=0), np.repeat(labels, times), np.ones(times.sum()))
+    for a, b in zip(toxicity.logistic(features, labels, times.astype(float)), spread, strict=True):
+        assert np.allclose(a, b)
+
+
+def test_no_language_is_left_out(spark, documents, monkeypatch):
+    monkeypatch.setattr(language, "ROWS", 30)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(100 * k + i, f"{letters[k] * 3} {letters[k] * 2}{letters[(k + 1) % 26]} {letters[k] * 4} {i}", f"l{k:02}") for k in range(26) for i in range(20)]
+    rows += [(9_000 + i, "aaa aab aaaa", "l00") for i in range(300)]
+    model = language.fit(documents(rows))
+    assert len(model.languages) == 26 and model.scores.shape[1] == language.WIDTH
+    known = documents(rows).selectExpr("text", "lang", "xxhash64(text) hash")
+    chosen = language.candidates(known, dict.fromkeys(model.languages, 20), 2)
+    assert chosen.groupBy("lang", "hash").count().where("count > 1").count() == 0
+    assert chosen.select("lang").distinct().count() == 26
+    got = language.predict(documents(rows), model).collect()
+    assert {r.lang_pred for r in got} <= set(model.languages) and all(0 <= r.score <= 1 for r in got)
+
+
 @pytest.mark.parametrize("folds", [True, False])
 def test_language_accuracy_on_held_out(spark, folds):
     docs = table(spark, DIRECTORY, "documents", "doc_id", "text", "lang")
