@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelflot.llm.common import table
-from shelflot.session import run_dir
+from shelflot.operators.joins import SMALL_BYTES, lookup_join
+from shelflot.session import pinned, run_dir
 
 SYMBOLS = "#*$%&|<>"
 BLANK_CLASS, WORD_CLASS = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
@@ -108,7 +109,8 @@ def host_verdicts(measured: DataFrame, host: str = "host") -> DataFrame:
         F.sum(n * (f / n - mean) * (f / n - mean)).alias("squares"), F.sum(n * n).alias("n_squares"),
     )
     chance = mean * (1 - mean)
-    between = (F.col("squares") - (F.col("n_hosts") - 1) * chance) / (F.col("all_docs") - F.col("n_squares") / F.col("all_docs"))
+    beyond = F.col("squares") - (F.col("n_hosts") - 1) * chance
+    between = F.try_divide(beyond, F.col("all_docs") - F.col("n_squares") / F.col("all_docs"))  # NULL with one host
     weight = F.when(between > 0, F.least(F.greatest(chance / between - 1, F.lit(PRIOR_WEIGHT[0])), F.lit(PRIOR_WEIGHT[1])))
     prior = spread.select(mean.alias("prior_mean"), F.coalesce(weight, F.lit(PRIOR_WEIGHT[1])).alias("prior_weight"))
     rate = (f + F.col("prior_mean") * F.col("prior_weight")) / (n + F.col("prior_weight"))
@@ -116,26 +118,28 @@ def host_verdicts(measured: DataFrame, host: str = "host") -> DataFrame:
     return judged.select(host, "n_docs", "n_failed", "host_rate", (F.col("host_rate") <= MAX_HOST_RATE).alias("host_ok"))
 
 
-def judge(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+def judge(df: DataFrame, text: str = "text", host: str = "source", small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Add the measures, ``base_failed`` and ``kept``; every row stays and repeated rows are judged alike.
 
     Documents without a host are judged by their own measures. The measures are kept as a table in the
-    shared folder, so that texts are read once, and verdicts join by host: a hot host's rows
-    are split by the adaptive join.
+    shared folder, so that texts are read once. Verdicts are measured: few are sent to the rows, which stay
+    where they are, and many meet the rows of a host in salted parts, so no task gets a hot host whole.
     """
     spark, path = df.sparkSession, run_dir(df.sparkSession, "measures")
-    added = {*_MEASURES, "base_failed", "kept", "__host"}
+    added = {*_MEASURES, "base_failed", "kept", "__host", "__spread", "__ok"}
     rest = [c for c in df.columns if c.lower() not in added | {text.lower()}]
     narrow = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{host}`").cast("string").alias("__host"), F.col(f"`{text}`").alias("__whole"))
     measure(narrow, "__whole").drop("__whole").write.parquet(path)
     measured = spark.read.parquet(path)
-    verdicts = host_verdicts(measured, "__host").select(F.col("__host").alias("__own"), "host_ok")
-    joined = measured.join(verdicts, measured["__host"] == F.col("__own"), "left")
+    verdicts = pinned(host_verdicts(measured, "__host").select("__host", F.col("host_ok").alias("__ok")))
+    named = measured.where("__host is not null").withColumn("__spread", F.monotonically_increasing_id())
+    judged = lookup_join(named, verdicts, "__host", "__spread", small_bytes).drop("__spread")
+    joined = judged.unionByName(measured.where("__host is null").withColumn("__ok", F.lit(True)))
     return joined.select(
         *[F.col(f"`{c}`") for c in rest],
         *_MEASURES,
         base_failed().alias("base_failed"),
-        (~base_failed() & F.coalesce("host_ok", F.lit(True))).alias("kept"),
+        (~base_failed() & F.col("__ok")).alias("kept"),
     )
 
 

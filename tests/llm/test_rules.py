@@ -68,6 +68,12 @@ def host_rows():
     return rows
 
 
+def test_one_host(spark, documents):
+    rows = [(1, "a b c", None, "h"), (2, None, None, "h"), (3, "one two three four five six seven eight nine ten", None, "h"), (4, "x", None, None)]
+    assert {r.doc_id: r.kept for r in host_rules.judge(documents(rows)).collect()} == dict.fromkeys([1, 2, 3, 4], False)
+    assert {r.doc_id: r.kept for r in host_rules.judge(documents(rows[2:])).collect()} == {3: True, 4: False}
+
+
 def test_host_rules(spark, documents):
     docs = documents(host_rows())
     con = duckdb.connect()
@@ -79,6 +85,10 @@ def test_host_rules(spark, documents):
     kept = {r.doc_id: r.kept for r in got.collect()}
     assert kept[0] and not kept[100] and not kept[200] and not kept[202]
     assert {r.doc_id: r.n_repeat_words for r in got.collect()}[302] == 10
+    salted = host_rules.judge(docs, small_bytes=0)
+    assert sorted(map(str, salted.collect())) == sorted(map(str, got.collect()))
+    clashing = docs.selectExpr("*", "5 as host_ok")
+    assert {r.host_ok for r in host_rules.judge(clashing).collect()} == {5}
     assert host_rules.judge(documents([])).count() == 0
 
 
