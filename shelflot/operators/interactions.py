@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelflot.operators.joins import SMALL_BYTES, measured_bytes
+from shelflot.session import pinned
+
 
 def known_pairs(interactions: DataFrame) -> DataFrame:
     """One entry per unordered pair of names: the one with the least id."""
@@ -35,22 +38,38 @@ def basket_interactions(
 ) -> DataFrame:
     """Known interactions between any two medicines of one basket.
 
-    The known pairs lead: an item looks up the partners of its name, and those are then
-    looked up in its basket. Pairs without an interaction are never formed, however many
-    items a basket has.
+    Every basket goes the shorter of two ways. One with few medicines beside the partners they
+    are known to have forms its pairs, which are then looked up. In the others the known pairs
+    lead: an item looks up the partners of its name, and those are then looked up in its
+    basket. So no more pairs are formed than either way alone would form.
     """
-    pairs = known_pairs(interactions).filter(F.col("low") < F.col("high"))
-    relevant = pairs.select(F.explode(F.array("low", "high")).alias("name")).distinct()
+    pairs = pinned(known_pairs(interactions).filter(F.col("low") < F.col("high")))
+    small = measured_bytes(pairs) <= SMALL_BYTES
+    known = F.broadcast(pairs) if small else pairs
+    names = pairs.select(F.col("low").alias("name"), F.lit(1).alias("n")).unionByName(
+        pairs.select(F.col("high").alias("name"), F.lit(0).alias("n"))
+    )
+    relevant = names.groupBy("name").agg(F.sum("n").alias("partners"))
     held = (
         items.select(F.col(basket).alias("basket"), F.col(name).alias("name"))
         .filter(F.col("basket").isNotNull())
-        .join(relevant, "name", "left_semi")
+        .join(F.broadcast(relevant) if small else relevant, "name")
         .distinct()
     )
-    # Only the pair's id travels through the large joins; what is known of it is added last.
-    partners = held.withColumnRenamed("name", "low").join(pairs.select("low", "high", "id"), "low").drop("low")
-    found = partners.join(held.withColumnRenamed("name", "high"), ["basket", "high"]).select("basket", "id")
-    return found.join(pairs, "id").select(
+    n = F.count(F.lit(1))
+    sizes = held.groupBy("basket").agg((n * (n - 1) <= 2 * F.sum("partners")).alias("few"))
+    dealt = held.drop("partners").join(sizes, "basket")
+    few, many = dealt.filter("few").drop("few"), dealt.filter(~F.col("few")).drop("few")
+    formed = (
+        few.withColumnRenamed("name", "low")
+        .join(few.withColumnRenamed("name", "high"), "basket")
+        .filter(F.col("low") < F.col("high"))
+        .select("basket", "low", "high")
+    )
+    links = known.select("low", "high")
+    partners = many.withColumnRenamed("name", "low").join(links, "low")
+    led = partners.join(many.withColumnRenamed("name", "high"), ["basket", "high"]).select("basket", "low", "high")
+    return formed.unionByName(led).join(known, ["low", "high"]).select(
         F.col("basket").alias(basket),
         F.col("low").alias("drug_a"),
         F.col("high").alias("drug_b"),

@@ -10,7 +10,7 @@ from shelflot.functions.containment import first_containing
 from shelflot.operators import alerts as A
 from shelflot.operators import interactions as X
 from shelflot.operators.symptoms import resolve_medicine
-from shelflot.schema import ALERTS, BATCHES
+from shelflot.schema import ALERTS, BATCHES, INTERACTIONS
 from tests.conftest import AS_OF, day, frame, money
 
 
@@ -164,3 +164,35 @@ def test_baskets(spark, interactions):
     )
     got = sorted((r.cart_id, r.drug_a, r.drug_b, r.severity) for r in X.basket_interactions(items, interactions).collect())
     assert got == [(1, "Aspirin", "Ibuprofen", "medium"), (1, "Aspirin", "Warfarin", "high")]
+
+
+def test_baskets_go_the_shorter_way(spark):
+    """Everything interacts with everything: small baskets form their own pairs, not one per partner."""
+    names = [f"m{i:02d}" for i in range(60)]
+    known = [(i * 100 + j, a, b, f"{a}+{b}", "high", "") for i, a in enumerate(names) for j, b in enumerate(names) if a != b]
+    interactions = spark.createDataFrame(known, INTERACTIONS)
+    rows = [(cart, names[(7 * cart + 11 * k) % 60]) for cart in range(200) for k in range(4)] + [(900, n) for n in names]
+    items = spark.createDataFrame(rows + [(None, "m00"), (901, "unknown"), (901, None)], "cart_id bigint, medicine_name string")
+    found = X.basket_interactions(items, interactions)
+    held = {}
+    for cart, name in rows:
+        held.setdefault(cart, set()).add(name)
+    wanted = sorted((cart, a, b, f"{a}+{b}") for cart, own in held.items() for a in own for b in own if a < b)
+    assert sorted((r.cart_id, r.drug_a, r.drug_b, r.interaction) for r in found.collect()) == wanted
+    steps = plan_rows(found)
+    assert max(steps) <= 3 * len(wanted), steps
+
+
+def plan_rows(df):
+    """Output rows of every join in the plan as it was run."""
+    df._jdf.queryExecution().executedPlan().executeCollect()
+    seen, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlan" else []
+        todo += [node.plan()] if "QueryStage" in name else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if name.endswith("Join") and node.metrics().contains("numOutputRows"):
+            seen.append(node.metrics().apply("numOutputRows").value())
+    return seen
