@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelflot.functions.containment import first_containing
-from shelflot.functions.ranks import row_numbers
+from shelflot.functions.ranks import row_numbers, running_total
 from shelflot.functions.text import ascii_lower
 from shelflot.operators.joins import lookup_join
 from shelflot.session import pinned
@@ -303,19 +303,38 @@ def holdout(
 
     A label with n > 1 rows gives round(n * fraction) of them to the test set.
     """
-    sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    drawn = row_numbers(
-        labelled.filter(F.col(label).isNotNull()).withColumn("__draw", _draw(id, seed)),
-        [label],
-        ["__draw", id],
-        "__rank",
-    )
+    named = labelled.filter(F.col(label).isNotNull())
+    keyed = named.withColumn("__draw", F.coalesce(_draw(id, seed), F.lit("")))
+    # Only ids are put in order: what comes back is the last one tested of every label, by which
+    # the rows are judged where they lie.
+    ids = pinned(keyed.groupBy(label, "__draw", F.col(id).alias("__id")).agg(F.count(F.lit(1)).alias("__c")))
     share = F.floor(F.col("__n") * F.lit(float(fraction)) + 0.5)
-    tested = (F.col("__n") > 1) & (F.col("__rank") <= share)
-    return (
-        drawn.join(sizes, label)
-        .withColumn("is_test", tested)
-        .select(*labelled.columns, "is_test")
+    shares = ids.groupBy(label).agg(F.sum("__c").alias("__n")).select(
+        label, F.when(F.col("__n") > 1, share).otherwise(F.lit(0)).alias("__share")
+    )
+    placed = running_total(ids, [label], ["__draw", "__id"], "__c", "__upto")
+    last = placed.join(shares, label).filter(
+        (F.col("__upto") >= F.col("__share")) & (F.col("__upto") - F.col("__c") < F.col("__share"))
+    )
+    cuts = pinned(
+        shares.join(last.drop("__share"), label, "left").select(
+            label,
+            F.coalesce(F.col("__draw"), F.lit("")).alias("__last"),
+            F.coalesce(F.col("__share") - F.col("__upto") + F.col("__c"), F.lit(0)).alias("__rest"),
+            F.coalesce("__c", F.lit(0)).alias("__of"),
+        )
+    )
+    judged = lookup_join(keyed, cuts, label, id)
+    before, at = F.col("__draw") < F.col("__last"), F.col("__draw") == F.col("__last")
+    split = at & (F.col("__rest") > 0) & (F.col("__rest") < F.col("__of"))
+    columns = [*labelled.columns, "is_test"]
+    whole = judged.withColumn("is_test", before | (at & (F.col("__rest") > 0)))
+    if cuts.filter((F.col("__rest") > 0) & (F.col("__rest") < F.col("__of"))).isEmpty():
+        return whole.select(*columns)
+    # Rows of one id on both sides of the cut: so many of them as are still wanted.
+    tied = row_numbers(judged.filter(split), [label], [F.xxhash64(*labelled.columns)], "__rank")
+    return whole.filter(~split).select(*columns).unionByName(
+        tied.withColumn("is_test", F.col("__rank") <= F.col("__rest")).select(*columns)
     )
 
 

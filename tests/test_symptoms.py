@@ -115,6 +115,25 @@ def test_holdout(spark):
     assert df.count() == 53 and tested == {"big": 10}
 
 
+def test_holdout_orders_ids_alone(spark):
+    """The rows, with their texts, are judged where they lie; a label's rows don't meet in one task."""
+    rows = [(i, f"text {i} " * 50, "big") for i in range(400)] + [(500 + i, "t", "small") for i in range(20)]
+    df = M.holdout(spark.createDataFrame(rows, "id bigint, text string, label string").repartition(8))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    assert Counter(r.label for r in df.collect() if r.is_test) == {"big": 80, "small": 4}
+
+
+def test_holdout_of_repeated_ids(spark):
+    """An id's rows may lie on both sides of the cut; rows without an id come first."""
+    rows = [(i % 3, f"t{i}", "a") for i in range(30)] + [(None, "x", "b"), (1, "y", "b"), (2, "z", "b"), (3, "w", None)]
+    got = M.holdout(spark.createDataFrame(rows, "id bigint, text string, label string"), fraction=0.5).collect()
+    assert Counter(r.label for r in got) == {"a": 30, "b": 3}
+    assert Counter(r.label for r in got if r.is_test) == {"a": 15, "b": 2}
+    tested = Counter(r.id for r in got if r.is_test and r.label == "a")
+    assert sorted(tested.values()) == [5, 10] and any(r.is_test and r.id is None for r in got)
+
+
 def test_accuracy_and_top_terms(texts, model):
     got = M.accuracy(model, texts).first()
     assert got.samples == 7 and got.hits == 7
