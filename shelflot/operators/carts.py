@@ -12,9 +12,9 @@ from shelflot.functions.dates import day
 from shelflot.functions.money import TOTAL, amount
 from shelflot.functions.ranks import GROUP_LIMIT, row_numbers, running_total
 from shelflot.functions.text import clean
-from shelflot.operators.joins import left_join_nullable
+from shelflot.operators.joins import left_join_nullable, small
 from shelflot.operators.validate import Checked
-from shelflot.session import pinned
+from shelflot.session import pinned, spread_over
 
 # Tax and receipt number.
 TAX_RATE = "0.05"
@@ -139,15 +139,20 @@ def apply_sales(
     lines: DataFrame,
     as_of=None,
     allow_expired: bool = True,
-    first_id: int = 1,
+    first_id: int | None = 1,
     group_limit: int = GROUP_LIMIT,
 ) -> Applied:
     """Sell carts against stock, whole carts only, as if one by one in order of time and id.
 
     Returns the new stock, a decision per cart, the recorded sale lines numbered from
-    ``first_id``, and the units taken per batch. A line without a positive quantity refuses
+    ``first_id`` (without numbers if it is None), and the units taken per batch. A line without a positive quantity refuses
     its cart. Expired batches may be sold unless ``allow_expired`` is off.
     """
+    with spread_over(lines.sparkSession, lines.count()):
+        return _applied(batches, lines, as_of, allow_expired, first_id, group_limit)
+
+
+def _applied(batches: DataFrame, lines: DataFrame, as_of, allow_expired: bool, first_id: int | None, group_limit: int) -> Applied:
     demand = pinned(_judged_demand(batches, lines, as_of, allow_expired))
     impossible = (
         demand.filter(F.col("problem").isNotNull()).groupBy("cart_id").agg(F.min("problem").alias("reason"))
@@ -176,16 +181,19 @@ def apply_sales(
         .join(refused, "cart_id", "left")
         .select("cart_id", F.col("reason").isNull().alias("accepted"), "reason")
     )
-    accepted = decisions.filter("accepted").select("cart_id")
-    taken = (
+    accepted = small(decisions.filter("accepted").select("cart_id"))
+    taken = pinned(
         demand.join(accepted, "cart_id", "left_semi")
         .groupBy("batch_id")
         .agg(F.sum("qty").cast("bigint").alias("units"))
     )
     sold = lines.join(accepted, "cart_id", "left_semi")
-    numbered = row_numbers(sold, [], ["cart_time", "cart_id", "line"], "__n")
-    sales = numbered.select(
-        (F.col("__n") + (first_id - 1)).cast("bigint").alias("id"),
+    ids = []
+    if first_id is not None:
+        sold = row_numbers(sold, [], ["cart_time", "cart_id", "line"], "__n")
+        ids = [(F.col("__n") + (first_id - 1)).cast("bigint").alias("id")]
+    sales = sold.select(
+        *ids,
         "cart_id",
         "line",
         "batch_id",
@@ -199,7 +207,7 @@ def apply_sales(
 
 def take_stock(batches: DataFrame, taken: DataFrame) -> DataFrame:
     """Batches with the taken units (batch_id, units) subtracted."""
-    gone = taken.select(F.col("batch_id").alias("id"), "units")
+    gone = small(taken.select(F.col("batch_id").alias("id"), "units"))
     return (
         batches.join(gone, "id", "left")
         .withColumn("quantity", F.col("quantity") - F.coalesce("units", F.lit(0)))

@@ -64,6 +64,11 @@ def lookup_join(
     return salted.join(table.withColumn("__salt", salts), [key, "__salt"]).drop("__salt")
 
 
+def small(table: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """The table, marked for broadcast if it measures as small."""
+    return F.broadcast(table) if measured_bytes(table) <= small_bytes else table
+
+
 def sales_enriched(sales: DataFrame, batches: DataFrame, medicines: DataFrame) -> DataFrame:
     """Sale lines with their batch number, medicine and value; lines without either are dropped.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,9 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+#: Rows of a join's larger side that a task is meant to get.
+ROWS_PER_TASK = 500_000
+
 
 def build_session(app: str = "shelflot", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings the operators are written for."""
@@ -60,3 +64,15 @@ def pinned(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """Tasks to spread a heavy step over: the shuffle setting, and never fewer than the cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+@contextmanager
+def spread_over(spark: SparkSession, rows: int, per_task: int = ROWS_PER_TASK):
+    """Plan the jobs run inside with enough shuffle partitions for ``rows``, so that a task's share stays the same."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, max(int(before), -(-rows // per_task)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

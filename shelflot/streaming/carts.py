@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelflot.operators.carts import apply_sales, cart_lines
+from shelflot.operators.joins import SMALL_BYTES, measured_bytes
 from shelflot.schema import BATCHES
-from shelflot.session import pinned
 
 #: Buckets of a new ledger, and the most that there may be: a manifest passes through the driver.
 BUCKETS, MAX_BUCKETS = 64, 100_000
@@ -29,10 +29,11 @@ def _bucket(batch_id: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(batch_id), F.lit(buckets)).cast("int")
 
 
-def _write_stock(stock: DataFrame, path: str, version: int, buckets: int) -> None:
-    """The rows of some buckets as one version of them."""
-    placed = stock.withColumn("bucket", _bucket("id", buckets)).repartition("bucket")
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/stock/version={version}")
+def _write_stock(stock: DataFrame, path: str, version: int, buckets: int, placed: bool = False) -> None:
+    """The rows of some buckets as one version of them; ``placed`` if they lie as the files of buckets were read."""
+    rows = stock.withColumn("bucket", _bucket("id", buckets))
+    rows = rows if placed else rows.repartition("bucket")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/stock/version={version}")
 
 
 def _write_manifest(spark: SparkSession, path: str, epoch: int, versions: dict[int, int]) -> None:
@@ -97,17 +98,18 @@ def stream_apply_sales(
         spark = df.sparkSession
         versions = manifest(spark, path, epoch - 1)
         checked = cart_lines(df)
-        lines = pinned(checked.accepted)
+        lines = checked.accepted
         known = lines.where("batch_id IS NOT NULL").select(_bucket("batch_id", len(versions)).alias("bucket"))
         touched = [r.bucket for r in known.distinct().collect()]  # no more than there are buckets
         own = {bucket: versions[bucket] for bucket in touched}
         # Carts on no batch at all are judged against any one bucket.
-        done = apply_sales(_stock(spark, path, own or {0: versions[0]}), lines)
+        done = apply_sales(_stock(spark, path, own or {0: versions[0]}), lines, first_id=None)
         refused = checked.rejected.select("cart_id", F.lit(False).alias("accepted"), "reason")
-        done.sales.drop("id").write.mode("overwrite").parquet(f"{path}/sales/epoch={epoch}")
+        done.sales.write.mode("overwrite").parquet(f"{path}/sales/epoch={epoch}")
         done.decisions.unionByName(refused).write.mode("overwrite").parquet(f"{path}/decisions/epoch={epoch}")
         if own:
-            _write_stock(done.batches, path, epoch, len(versions))
+            # Few units taken are broadcast, so the stock still lies by the files of its buckets.
+            _write_stock(done.batches, path, epoch, len(versions), measured_bytes(done.taken) <= SMALL_BYTES)
         _write_manifest(spark, path, epoch, versions | dict.fromkeys(own, epoch))
 
     writer = carts.writeStream.foreachBatch(post).option("checkpointLocation", checkpoint)

@@ -101,3 +101,22 @@ def test_earlier_sale_probe(spark, batches):
     lines = C.cart_lines(spark.createDataFrame([cart(1, [(1, 2)])], CARTS)).accepted
     left = {r.id: r.quantity for r in C.apply_sales(batches, lines).batches.collect()}
     assert left == {1: 98, 2: 50, 3: 75, 4: 60}
+
+
+def test_posting_is_spread_by_size_and_ships_little(spark, monkeypatch):
+    """Jobs are planned for the number of lines; few units taken meet the stock without dealing it out anew."""
+    lines = C.cart_lines(spark.createDataFrame([cart(i, [(i % 3, 1)]) for i in range(40)], CARTS)).accepted
+    planned, key = [], "spark.sql.shuffle.partitions"
+    before, demand = spark.conf.get(key), C._judged_demand
+
+    def seen(*given):
+        planned.append(int(spark.conf.get(key)))
+        return demand(*given)
+
+    monkeypatch.setattr(C, "_judged_demand", seen)
+    monkeypatch.setattr(C.spread_over.__wrapped__, "__defaults__", (4,))
+    done = C.apply_sales(stock_of(spark, {0: 5, 1: 50, 2: 0}), lines, first_id=None)
+    assert planned == [10] and spark.conf.get(key) == before
+    assert {r.id: r.quantity for r in done.batches.collect()} == {0: 0, 1: 37, 2: 0}
+    assert done.sales.count() == 18 and "id" not in done.sales.columns
+    assert "Exchange hashpartitioning" not in done.batches._jdf.queryExecution().executedPlan().toString()
