@@ -3,12 +3,14 @@
 Every pattern is reduced to its longest part free of wildcards, the anchor. A text can only
 match if it contains the anchor, so both sides get keys of which they must then share one:
 
-* an anchor of at least ``Q + W - 1`` characters gives the least hash of each window of W
-  neighbouring Q-character pieces. The text has the same windows wherever it contains the
-  anchor, so it has the same least hashes; of all windows of the pattern the one found in the
-  fewest texts becomes its key;
+* an anchor of at least ``SPANS[0]`` characters gives the least hash of each window of as many
+  characters as the longest span it reaches; a window holds overlapping pieces of about two
+  thirds of its length. The text has the same windows wherever it contains the anchor, so it
+  has the same least hashes; of all windows of the pattern the one found in the fewest texts
+  becomes its key. Long spans give a text few keys that are hardly shared. A pattern whose key
+  many texts have all the same gets the finer keys of the least span, and so do those texts;
 * a shorter anchor is its own key, and texts are cut into pieces of just the lengths that
-  occur (never more than Q + W - 2 of them);
+  occur (all below ``SPANS[0]``);
 * a pattern of wildcards alone matches by length, through a table with one row per length.
 
 Pairs that share a key are then tested with LIKE itself, so the answer is exact, and only the
@@ -26,31 +28,43 @@ from pyspark.sql import functions as F
 from shelflot.functions.text import ascii_lower, contains_pattern
 from shelflot.session import partitions, pinned
 
-Q = 8
-W = 4
-LONG = Q + W - 1
+#: Window lengths in characters, and how many texts may have the key of a long one.
+SPANS = (11, 16, 24, 36, 48)
+LONG = SPANS[0]
+RARE = 64
 
 
-def _with_pieces(df: DataFrame, text: str) -> DataFrame:
-    """Add the hashes of all Q-character pieces, in order; none for a text shorter than LONG.
+def _span(length: Column) -> Column:
+    """The longest span an anchor reaches; 0 for a short one."""
+    return F.greatest(*[F.when(length >= n, n).otherwise(0) for n in SPANS])
+
+
+def _width(span: Column) -> Column:
+    """Pieces in a window: 4 of 8 characters in the least span, 17 of 32 in the longest."""
+    return F.floor(span / 3).cast("int") + 1
+
+
+def _with_pieces(df: DataFrame, text: str, span: Column, out: str) -> DataFrame:
+    """Add the hashes of all pieces, in order; none for a text shorter than ``span`` or without one.
 
     They are a column of their own, which is used twice, so Spark keeps it and every piece is
     hashed once.
     """
+    length = span - _width(span) + 1
     hashes = F.transform(
-        F.sequence(F.lit(1), F.length(text) - F.lit(Q - 1)),
-        lambda i: F.xxhash64(F.substr(F.col(text), i, F.lit(Q))),
+        F.sequence(F.lit(1), F.length(text) - length + 1),
+        lambda i: F.xxhash64(F.substr(F.col(text), i, length)),
     )
     return df.withColumn(
-        "__pieces", F.when(F.length(text) >= LONG, hashes).otherwise(F.array().cast("array<bigint>"))
+        out, F.when((span > 0) & (F.length(text) >= span), hashes).otherwise(F.array().cast("array<bigint>"))
     )
 
 
-def _window_keys() -> Column:
-    """Distinct least hashes over windows of ``__pieces``."""
-    windows = F.size("__pieces") - F.lit(W - 1)
+def _window_keys(pieces: str, span: Column) -> Column:
+    """Distinct least hashes over the windows of ``pieces``."""
+    windows = F.size(pieces) - _width(span) + 1
     least = F.transform(
-        F.sequence(F.lit(1), windows), lambda j: F.array_min(F.slice("__pieces", j, F.lit(W)))
+        F.sequence(F.lit(1), windows), lambda j: F.array_min(F.slice(pieces, j, _width(span)))
     )
     return F.when(windows > 0, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
 
@@ -75,9 +89,60 @@ def _piece_keys(text: Column, lengths: Column) -> Column:
     return F.array_distinct(F.concat(*per_length))
 
 
-def _exploded(df: DataFrame, keys: Column, kept: Sequence[str]) -> DataFrame:
-    """A row per key. The outer form keeps Spark from testing the list first, which would build it twice."""
-    return df.select(*kept, F.explode_outer(keys).alias("__key")).filter(F.col("__key").isNotNull())
+def _exploded(df: DataFrame, keys: Column, within: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """A row per key, which stands for ``within`` too.
+
+    The outer form keeps Spark from testing the list first, which would build it twice.
+    """
+    rows = df.select(*dict.fromkeys([*within, *kept]), F.explode_outer(keys).alias("__k"))
+    return rows.filter(F.col("__k").isNotNull()).select(*kept, F.xxhash64("__k", *within).alias("__key"))
+
+
+def _pattern_keys(patterns: DataFrame, within: Sequence[str]) -> DataFrame:
+    pieces = _with_pieces(patterns, "__anchor", F.col("__span"), "__pieces")
+    keys = F.when(F.col("__span") == 0, F.array(_short_key(F.col("__anchor")))).otherwise(
+        _window_keys("__pieces", F.col("__span"))
+    )
+    return _exploded(pieces, keys, within, [*within, "__pattern", "__span"])
+
+
+def _text_keys(texts: DataFrame, spans: Sequence[int], lengths: Sequence[int], within: Sequence[str]) -> DataFrame:
+    """Keys carry the order of their text, not the text, which is looked up again for the few pairs that share a key."""
+    for n in spans:
+        texts = _with_pieces(texts, "__text", F.lit(n), f"__pieces{n}")
+    keys = [_window_keys(f"__pieces{n}", F.lit(n)) for n in spans]
+    if lengths:
+        keys.append(_piece_keys(F.col("__text"), F.array(*[F.lit(n) for n in lengths])))
+    none = F.array().cast("array<bigint>")
+    return _exploded(texts, F.array_distinct(F.concat(*keys)) if keys else none, within, ["__order"])
+
+
+def _sharing(patterns: DataFrame, texts: DataFrame, within: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rarest key of each pattern with the number of texts that have it, and the keys of the texts.
+
+    ``patterns`` holds (within, __pattern, __anchor, __span). A pattern is left out if no text has one of its keys.
+    """
+    seen = patterns.agg(
+        F.collect_set(F.when(F.col("__span") > 0, F.col("__span"))).alias("spans"),
+        F.collect_set(F.when(F.col("__span") == 0, F.length("__anchor"))).alias("lengths"),
+    ).first()
+    pattern_keys = pinned(_pattern_keys(patterns, within))
+    text_keys = pinned(
+        _text_keys(texts, sorted(seen["spans"]), sorted(seen["lengths"]), within).join(
+            pattern_keys.select("__key").distinct(), "__key", "left_semi"
+        )
+    )
+    counts = text_keys.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = (
+        pattern_keys.join(counts, "__key", "left")
+        .groupBy(*within, "__pattern", "__span")
+        .agg(
+            F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__key").alias("key"))).alias("__r")
+        )
+        .filter(F.col("__r.n") > 0)
+        .select(*within, "__pattern", "__span", F.col("__r.n").alias("__n"), F.col("__r.key").alias("__key"))
+    )
+    return pinned(rarest), text_keys
 
 
 def _anchor(pattern: Column) -> Column:
@@ -116,38 +181,21 @@ def first_containing(
     n = partitions(p.sparkSession)
     p, t = pinned(p.repartition(n, "__pattern")), pinned(t.repartition(n, "__text"))
     anchor_length = F.length("__anchor")
-    keyed = p.filter(anchor_length > 0)
-    lengths = (
-        keyed.filter(anchor_length < LONG).agg(F.collect_set(anchor_length).alias("lengths")).scalar()
-    )
-    pattern_keys = _exploded(
-        _with_pieces(keyed, "__anchor"),
-        F.when(anchor_length < LONG, F.array(_short_key(F.col("__anchor")))).otherwise(_window_keys()),
-        [*within, "__pattern"],
-    )
-    # Keys carry the order of their text, not the text, which is looked up again for the few
-    # pairs that share a key.
-    text_keys = pinned(
-        _exploded(
-            _with_pieces(t, "__text"),
-            F.array_union(_window_keys(), _piece_keys(F.col("__text"), lengths)),
-            [*within, "__order"],
+    keyed = p.filter(anchor_length > 0).withColumn("__span", _span(anchor_length))
+    rarest, text_keys = _sharing(keyed, t, within)
+    common = rarest.filter((F.col("__span") > LONG) & (F.col("__n") > RARE))
+    pairs = rarest.filter((F.col("__span") <= LONG) | (F.col("__n") <= RARE)).join(text_keys, "__key")
+    pairs = pairs.select(*within, "__pattern", "__order")
+    if not common.isEmpty():
+        # A text that contains such a pattern has its key, so only those texts get finer keys.
+        again = keyed.join(common.select(*within, "__pattern"), [*within, "__pattern"], "left_semi")
+        sharing = text_keys.join(common.select("__key").distinct(), "__key", "left_semi").select("__order").distinct()
+        finer, finer_keys = _sharing(
+            again.withColumn("__span", F.lit(LONG)), t.join(sharing, "__order", "left_semi"), within
         )
-    )
-    counts = text_keys.groupBy(*within, "__key").agg(F.count(F.lit(1)).alias("__n"))
-    rarest = (
-        pattern_keys.join(counts, [*within, "__key"], "left")
-        .groupBy(*within, "__pattern")
-        .agg(
-            F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__key").alias("key"))).alias("__r")
-        )
-        .filter(F.col("__r.n") > 0)
-        .select(*within, "__pattern", F.col("__r.key").alias("__key"))
-    )
+        pairs = pairs.unionByName(finer.join(finer_keys, "__key").select(*within, "__pattern", "__order"))
     by_key = (
-        rarest.join(text_keys, [*within, "__key"])
-        .select(*within, "__pattern", "__order")
-        .join(t, [*within, "__order"])
+        pairs.join(t, [*within, "__order"])
         .filter(contains_pattern(F.col("__text"), F.col("__pattern")))
         .select(*within, "__pattern", "__order")
     )

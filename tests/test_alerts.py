@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from shelflot.functions import containment as K
 from shelflot.functions.containment import first_containing
 from shelflot.operators import alerts as A
 from shelflot.operators import interactions as X
@@ -183,6 +184,21 @@ def test_baskets_go_the_shorter_way(spark):
     assert max(steps) <= 3 * len(wanted), steps
 
 
+def test_long_patterns_have_few_keys(spark):
+    """Texts of one form differ in a number: a long pattern gives a few keys, and where all are shared finer ones."""
+    texts = [(i, f"New batch B{1000 + 37 * i}-{i % 9} of red bolt expires in -{i % 50} days") for i in range(300)]
+    texts += [(1000 + i, f"{'the same long beginning of every text, '}{i:04d}") for i in range(150)]
+    t = spark.createDataFrame(texts, "id bigint, text string")
+    spans = t.selectExpr("id", "lower(text) as __text", "id as __order")
+    keys = K._text_keys(spans, [48], [], []).filter("__order < 300").count()
+    assert 300 <= keys <= 4 * 300
+    asked = [x[:50] for _, x in texts] + ["beginning of every text, 0003", "e same long beginning of every text, 014"]
+    p = spark.createDataFrame([(x,) for x in asked], "pattern string")
+    got = {r.pattern: r.first for r in K.first_containing(p, t, "pattern", "text", "id").collect()}
+    lower = [(i, x.lower()) for i, x in texts]
+    assert got == {a.lower(): min(i for i, x in lower if a.lower() in x) for a in asked}
+
+
 def plan_rows(df):
     """Output rows of every join in the plan as it was run."""
     df._jdf.queryExecution().executedPlan().executeCollect()
